@@ -90,37 +90,41 @@ def to_degrees(x: Column, y: Column) -> tuple[Column, Column]:
 
 
 def edges_of(rings: Column) -> Column:
-    """All ring edges as one array; a ring that is not closed is closed by its last edge."""
+    """All ring edges as one array, each from its lower to its upper end.
+
+    A ring that is not closed is closed by its last edge.
+    """
 
     def ring_edges(ring: Column) -> Column:
         def edge(p: Column, i: Column) -> Column:
             q = F.get(ring, F.pmod(i + 1, F.size(ring)))
-            return F.struct(
-                p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")
-            )
+            return F.when(p["y"] <= q["y"], _edge(p, q)).otherwise(_edge(q, p))
 
         return F.transform(ring, edge)
 
     return F.flatten(F.transform(rings, ring_edges))
 
 
+def _edge(low: Column, high: Column) -> Column:
+    return F.struct(
+        low["x"].alias("x1"), low["y"].alias("y1"), high["x"].alias("x2"), high["y"].alias("y2")
+    )
+
+
 def crossings(x: Column, y: Column, edges: Column) -> Column:
     """Edges a ray from (x, y) towards +x crosses, or -1 when the point lies on an edge."""
 
     def step(total: Column, e: Column) -> Column:
         side = (e["x1"] - x) * (e["y2"] - y) - (e["x2"] - x) * (e["y1"] - y)
-        out_of_reach = ((e["y1"] > y) & (e["y2"] > y)) | ((e["y1"] < y) & (e["y2"] < y))
         on_edge = (
             (side == 0)
             & (x >= F.least(e["x1"], e["x2"]))
             & (x <= F.greatest(e["x1"], e["x2"]))
         )
-        spans = (e["y1"] > y) != (e["y2"] > y)
-        right = spans & ((side > 0) == (e["y2"] > e["y1"]))
         return (
-            F.when(out_of_reach, total)
+            F.when((y < e["y1"]) | (y > e["y2"]), total)
             .when((total < 0) | on_edge, F.lit(-1))
-            .when(right, total + 1)
+            .when((y < e["y2"]) & (side > 0), total + 1)
             .otherwise(total)
         )
 

@@ -42,6 +42,16 @@ class Grid:
         return self.index_bytes is not None and self.index_bytes <= BROADCAST_BYTES
 
 
+@dataclass(frozen=True)
+class SizeClass:
+    """Polygons whose longer side is at most ``side`` and more than half of it."""
+
+    side: float
+    n: int
+    edges: int
+    climb: float
+
+
 def add_state_plane(df: DataFrame, xy: tuple[str, str] = ("longitude", "latitude")) -> DataFrame:
     """Add ``x, y`` in metres; ``xy`` names the columns that hold the horizontal and vertical
     degrees, which older extracts have swapped. Rows without coordinates stay, with NULLs."""
@@ -59,10 +69,10 @@ def _with_edges(polygons: DataFrame) -> DataFrame:
     boxed = polygons.withColumn("edges", edges_of(F.col("rings"))).where(F.size("edges") > 0)
     return boxed.withColumns(
         {
-            "x0": F.array_min(F.transform("edges", lambda e: e["x1"])),
-            "x1": F.array_max(F.transform("edges", lambda e: e["x1"])),
+            "x0": F.array_min(F.transform("edges", lambda e: F.least(e["x1"], e["x2"]))),
+            "x1": F.array_max(F.transform("edges", lambda e: F.greatest(e["x1"], e["x2"]))),
             "y0": F.array_min(F.transform("edges", lambda e: e["y1"])),
-            "y1": F.array_max(F.transform("edges", lambda e: e["y1"])),
+            "y1": F.array_max(F.transform("edges", lambda e: e["y2"])),
         }
     )
 
@@ -79,51 +89,72 @@ def _tier(grid: Grid) -> Column:
     return tier
 
 
-def plan_grid(polygons: DataFrame, cell: float | None = None) -> Grid:
-    """Choose the cell size from the layer and bound the size of its index.
+def layer_profile(polygons: DataFrame) -> list[SizeClass]:
+    """Polygons, edges and vertical edge length per doubling of the polygon side.
 
-    Two one-row aggregates over the polygon layer alone; the points are not touched. Layers
-    with long rings get finer cells, so that each cell sees few edges.
+    One aggregate over the polygon layer alone. A double has about two thousand doublings, so
+    the result is bounded however large the layer is.
     """
-    edged = _with_edges(polygons)
-    row = edged.agg(
-        F.percentile_approx(_side(), 0.5).alias("side"),
-        F.max(_side()).alias("max_side"),
-        F.avg(F.size("edges")).alias("edges"),
-    ).first()
-    if row["side"] is None:
+    climb = F.aggregate("edges", F.lit(0.0), lambda t, e: t + e["y2"] - e["y1"])
+    side = F.when(_side() > 0, _side()).otherwise(1.0)
+    rows = (
+        _with_edges(polygons)
+        .select(F.ceil(F.log2(side)).alias("k"), F.size("edges").alias("edges"),
+                climb.alias("climb"))
+        .groupBy("k")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("edges").alias("edges"),
+             F.sum("climb").alias("climb"))
+        .orderBy("k")
+        .collect()
+    )
+    return [SizeClass(2.0 ** r["k"], r["n"], r["edges"], r["climb"]) for r in rows]
+
+
+def choose_grid(profile: Sequence[SizeClass], cell: float | None = None) -> Grid:
+    """Cell size from the median polygon; finer cells for longer rings.
+
+    Cells are made coarser while that makes the index small enough to broadcast; a layer too
+    large for that keeps the fine cells and is shuffled.
+    """
+    if not profile:
         return Grid(cell or 1.0, 1, 0)
-    if cell is None:
-        per_side = min(16.0, max(1.0, math.sqrt(row["edges"]) / 1.5))
-        cell = row["side"] / per_side if row["side"] > 0 else 1.0
-    cell = 2.0 ** math.ceil(math.log2(cell))
+    if cell is not None:
+        return _bounded(profile, 2.0 ** math.ceil(math.log2(cell)))
+    count, seen, median = sum(c.n for c in profile), 0, profile[-1].side
+    for c in profile:
+        seen += c.n
+        if 2 * seen >= count:
+            median = c.side
+            break
+    ring = sum(c.edges for c in profile) / count
+    per_side = 2.0 ** round(math.log2(min(16.0, max(4.0, 2 * math.sqrt(ring)))))
+    finest = median / per_side
+    options = [_bounded(profile, finest * 2**k) for k in range(int(math.log2(per_side)) + 1)]
+    return next((g for g in options if g.fits_broadcast), options[0])
+
+
+def plan_grid(polygons: DataFrame, cell: float | None = None) -> Grid:
+    return choose_grid(layer_profile(polygons), cell)
+
+
+def _bounded(profile: Sequence[SizeClass], cell: float) -> Grid:
     tiers, reach = 1, MAX_CELLS_PER_SIDE * cell
-    while row["max_side"] > reach:
+    while profile[-1].side > reach:
         tiers, reach = tiers + 1, reach * MAX_CELLS_PER_SIDE
-    grid = Grid(cell, tiers)
-
-    size = F.pow(F.lit(float(MAX_CELLS_PER_SIDE)), _tier(grid)) * cell
-    wide = (F.col("x1") - F.col("x0")) / size + 2
-    high = (F.col("y1") - F.col("y0")) / size + 2
-    # Every edge is kept in the rows of cells it spans, in the cells from the left edge of the
-    # polygon up to its own right end.
-    copies = F.aggregate(
-        "edges",
-        F.lit(0.0),
-        lambda total, e: total
-        + (F.abs(e["y2"] - e["y1"]) / F.col("cell_size") + 2)
-        * ((F.greatest(e["x1"], e["x2"]) - F.col("x0")) / F.col("cell_size") + 2),
-    )
-    bound = (
-        edged.withColumn("cell_size", size)
-        .agg(F.sum(wide * high * CELL_BYTES + copies * EDGE_BYTES).alias("bytes"))
-        .first()["bytes"]
-    )
-    return Grid(cell, tiers, int(bound))
+    total = 0.0
+    for c in profile:
+        size, reach = cell, MAX_CELLS_PER_SIDE * cell
+        while c.side > reach:
+            size, reach = size * MAX_CELLS_PER_SIDE, reach * MAX_CELLS_PER_SIDE
+        across = c.side / size + 2
+        # Every edge is kept in the rows of cells it spans, at most once per cell of the row.
+        total += c.n * across**2 * CELL_BYTES
+        total += (c.climb / size + 2 * c.edges) * across * EDGE_BYTES
+    return Grid(cell, tiers, int(total))
 
 
 def grid_index(polygons: DataFrame, grid: Grid, tier: int, attrs: Sequence[str]) -> DataFrame:
-    """``cx, cy, candidates`` of one tier: the polygons that reach into each cell."""
+    """``cx, cy, candidates`` of one tier: the polygons that reach into each cell, last first."""
     c = grid.tier_cell(tier)
     edged = _with_edges(polygons)
     if grid.tiers > 1:
@@ -131,7 +162,7 @@ def grid_index(polygons: DataFrame, grid: Grid, tier: int, attrs: Sequence[str])
     low, right, left = F.col("cy") * c, (F.col("cx") + 1) * c, F.col("cx") * c
 
     def in_row(e: Column) -> Column:
-        return (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= low + c)
+        return (e["y2"] >= low) & (e["y1"] <= low + c)
 
     rows = edged.withColumn("cy", F.explode(_cells("y0", "y1", c))).withColumn(
         "edges", F.filter("edges", in_row)
@@ -148,7 +179,9 @@ def grid_index(polygons: DataFrame, grid: Grid, tier: int, attrs: Sequence[str])
         F.struct(*attrs).alias("attrs"),
         F.when(F.col("cut"), F.col("edges")).alias("edges"),
     )
-    return known.groupBy("cx", "cy").agg(F.collect_list(candidate).alias("candidates"))
+    return known.groupBy("cx", "cy").agg(
+        F.sort_array(F.collect_list(candidate), asc=False).alias("candidates")
+    )
 
 
 def _cells(low: str, high: str, c: float) -> Column:
@@ -162,13 +195,30 @@ def last_of_same_rings(polygons: DataFrame, attrs: Sequence[str]) -> DataFrame:
     return polygons.groupBy("rings").agg(last).select("rings", "last.*")
 
 
+def _found(p: Column) -> Column:
+    return F.struct(p["poly_idx"].alias("poly_idx"), p["attrs"].alias("attrs"))
+
+
 def _hits(x: Column, y: Column, candidates: Column) -> Column:
-    found = F.filter(candidates, lambda p: p["edges"].isNull() | covers(x, y, p["edges"]))
-    return F.transform(
-        found, lambda p: F.struct(p["poly_idx"].alias("poly_idx"), p["attrs"].alias("attrs"))
+    inside = F.filter(candidates, lambda p: p["edges"].isNull() | covers(x, y, p["edges"]))
+    return F.transform(inside, _found)
+
+
+def _last_hit(x: Column, y: Column, candidates: Column) -> Column:
+    # Where the last candidate covers the whole cell the equi-join has already decided.
+    last = F.get(candidates, F.lit(0))
+    return F.when(last["edges"].isNull(), _found(last)).otherwise(
+        F.get(_hits(x, y, candidates), F.lit(0))
     )
 
 
+def _all_hits(x: Column, y: Column, candidates: Column) -> Column:
+    only = F.get(candidates, F.lit(0))
+    decided = (F.size(candidates) == 1) & only["edges"].isNull()
+    hits = F.when(decided, F.array(_found(only))).otherwise(_hits(x, y, candidates))
+    return F.coalesce(hits, F.array())
+
+
 def attach_polygons(
     points: DataFrame,
     polygons: DataFrame,
@@ -202,6 +252,7 @@ def attach_polygons(
     x, y = (null_if_nan(F.col(c)) for c in xy)
     joined = points.withColumns({"px": x, "py": y})
     hits = []
+    test = _last_hit if match == "last" else _all_hits
     for tier in range(grid.tiers):
         name = f"candidates_{tier}"
         index = grid_index(layer, grid, tier, attrs).select(
@@ -209,13 +260,14 @@ def attach_polygons(
             F.col("candidates").alias(name),
         )
         joined = _join_cells(joined, index, grid.tier_cell(tier), broadcast)
-        hits.append(F.coalesce(_hits(F.col("px"), F.col("py"), F.col(name)), F.array()))
-    joined = joined.select(*points.columns, F.concat(*hits).alias("hits"))
-    if match == "last":
-        joined = joined.withColumn("hit", F.array_max("hits"))
+        hits.append(test(F.col("px"), F.col("py"), F.col(name)))
+    if match == "all":
+        hit = F.explode_outer(F.concat(*hits))
     else:
-        joined = joined.withColumn("hit", F.explode_outer("hits"))
-    return joined.select(*points.columns, *[F.col(f"hit.attrs.{a}").alias(a) for a in attrs])
+        hit = F.array_max(F.array(*hits)) if len(hits) > 1 else hits[0]
+    return joined.select(*points.columns, hit.alias("hit")).select(
+        *points.columns, *[F.col(f"hit.attrs.{a}").alias(a) for a in attrs]
+    )
 
 
 def _join_cells(joined: DataFrame, index: DataFrame, c: float, broadcast: bool) -> DataFrame:
