@@ -12,7 +12,6 @@ WGS84_SRID = 4326
 STATE_PLANE_SRID = 26986
 
 RINGS_TYPE = "array<array<struct<x:double,y:double>>>"
-EDGE_TYPE = "struct<x1:double,y1:double,x2:double,y2:double>"
 
 # The one projected system the data uses (Lambert conformal conic with two
 # standard parallels on the GRS80 ellipsoid, metres).

@@ -1,0 +1,185 @@
+import math
+import random
+
+import pytest
+from conftest import plan_text, values
+from pyspark.sql import functions as F
+
+from rentatlas.functions.geometry import RINGS_TYPE, covers, edges_of
+from rentatlas.operators import spatial
+from rentatlas.sources.polygons import rings_from_geojson, rings_from_wkt
+
+SQUARE = [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
+HOLE = [(4, 4), (6, 4), (6, 6), (4, 6), (4, 4)]
+RIGHT = [(10, 0), (20, 0), (20, 10), (10, 10), (10, 0)]
+TRIANGLE = [(0, 20), (10, 20), (0, 30)]
+WIDE = [(5, 2), (15, 2), (15, 8), (5, 8), (5, 2)]
+
+POINTS = [
+    (0, 1.0, 1.0), (1, 10.0, 5.0), (2, 5.0, 5.0), (3, 4.0, 5.0), (4, 20.0, 10.0), (5, 25.0, 5.0),
+    (6, None, 5.0), (7, float("nan"), 5.0), (8, 7.0, 3.0), (9, 5.0, 25.0), (10, 6.0, 25.0),
+    (11, 0.0, 30.0), (12, -1.0, 4.0), (13, 5.0, 25.000001),
+]
+
+
+def layer(spark, polygons):
+    rows = [
+        (i, name, [[(float(x), float(y)) for x, y in ring] for ring in rings])
+        for i, (name, rings) in enumerate(polygons)
+    ]
+    return spark.createDataFrame(rows, f"poly_idx bigint, name string, rings {RINGS_TYPE}")
+
+
+def points(spark, rows):
+    return spark.createDataFrame(rows, "id int, x double, y double")
+
+
+@pytest.fixture(scope="module")
+def town(spark):
+    return layer(spark, [("square", [SQUARE, HOLE]), ("right", [RIGHT]), ("tri", [TRIANGLE]),
+                         ("wide", [WIDE])])
+
+
+ONE = {0: "square", 1: "wide", 2: "wide", 3: "square", 4: "right", 5: None, 6: None, 7: None,
+       8: "wide", 9: "tri", 10: None, 11: "tri", 12: None, 13: None}
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+@pytest.mark.parametrize("cell", [None, 0.5, 4, 1024])
+def test_last_match_keeps_every_point(spark, town, strategy, cell):
+    grid = spatial.plan_grid(town, cell)
+    out = spatial.attach_polygons(points(spark, POINTS), town, ["name"], grid=grid,
+                                  strategy=strategy)
+    assert {r.id: r.name for r in out.select("id", "name").collect()} == ONE
+    assert out.count() == len(POINTS)
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+def test_all_matches_fan_out(spark, town, strategy):
+    out = spatial.attach_polygons(points(spark, POINTS), town, ["name"], match="all",
+                                  strategy=strategy)
+    rows = sorted(values(out.where("id in (1, 2, 3, 5, 8)").select("id", "name")), key=str)
+    assert rows == [(1, "right"), (1, "square"), (1, "wide"), (2, "wide"), (3, "square"),
+                    (5, None), (8, "square"), (8, "wide")]
+
+
+def test_same_rings_keep_the_last(spark):
+    copies = layer(spark, [("first", [SQUARE]), ("second", [SQUARE])])
+    for strategy in ("broadcast", "shuffle"):
+        out = spatial.attach_polygons(points(spark, POINTS[:1]), copies, ["name"],
+                                      strategy=strategy)
+        assert values(out.select("name")) == [("second",)]
+
+
+def star(rng, cx, cy, radius, corners):
+    angles = sorted(rng.uniform(0, 2 * math.pi) for _ in range(corners))
+    return [(cx + radius * rng.uniform(0.3, 1) * math.cos(a),
+             cy + radius * rng.uniform(0.3, 1) * math.sin(a)) for a in angles]
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+def test_agrees_with_brute_force_across_tiers(spark, strategy):
+    """Small and huge many-cornered polygons, so that several tiers are in use."""
+    rng = random.Random(7)
+    shapes = [(f"s{i}", [star(rng, rng.uniform(-50, 50), rng.uniform(-50, 50), 2, 12)])
+              for i in range(60)]
+    shapes += [("big", [star(rng, 0, 0, 400, 200)]), ("big2", [star(rng, 50, 0, 90, 40)])]
+    polygons = layer(spark, shapes)
+    grid = spatial.plan_grid(polygons)
+    assert grid.tiers > 1
+    pts = points(spark, [(i, rng.uniform(-100, 100), rng.uniform(-100, 100))
+                         for i in range(2000)])
+    edged = polygons.withColumn("edges", edges_of(F.col("rings")))
+    brute = pts.crossJoin(F.broadcast(edged)).where(
+        covers(F.col("x"), F.col("y"), F.col("edges"))
+    )
+    matches = set(values(brute.select("id", "name")))
+    assert len(matches) > 1500
+    every = spatial.attach_polygons(pts, polygons, ["name"], "all", grid=grid, strategy=strategy)
+    found = values(every.select("id", "name"))
+    assert {r for r in found if r[1]} == matches and len(found) == len(set(found))
+    last = {r[0]: r[1] for r in values(
+        brute.groupBy("id").agg(F.max_by("name", "poly_idx")))}
+    one = spatial.attach_polygons(pts, polygons, ["name"], grid=grid, strategy=strategy)
+    assert {r.id: r.name for r in one.select("id", "name").collect()} == {
+        i: last.get(i) for i in range(2000)
+    }
+
+
+def test_plan_is_an_equi_join_without_python(spark, town):
+    pts = points(spark, POINTS)
+    for strategy, join in (("broadcast", "BroadcastHashJoin"), ("shuffle", "SortMergeJoin")):
+        plan = plan_text(spatial.attach_polygons(pts, town, ["name"], strategy=strategy))
+        assert join in plan
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
+
+
+def test_left_filter_moves_below_the_join(spark, town, tmp_path):
+    points(spark, POINTS).write.parquet(str(tmp_path / "points"))
+    pts = spark.read.parquet(str(tmp_path / "points"))
+    joined = spatial.attach_polygons(pts, town, ["name"], strategy="shuffle").where("id > 5")
+    assert "GreaterThan(id,5)" in plan_text(joined)
+
+
+def test_points_without_coordinates_are_spread(spark, town):
+    pts = spark.range(20000).select(
+        F.col("id"), F.lit(None).cast("double").alias("x"), F.lit(1.0).alias("y")
+    )
+    joined = spatial._join_cells(
+        pts.withColumnsRenamed({"x": "px", "y": "py"}),
+        spatial.grid_index(town, spatial.Grid(4.0), 0, ["name"]).withColumnsRenamed(
+            {"cx": "index_x", "cy": "index_y"}),
+        4.0, broadcast=False,
+    )
+    assert joined.count() == 20000
+    plan = plan_text(joined)
+    assert "xxhash64" in plan
+
+
+def test_large_layers_are_not_broadcast():
+    small = [spatial.SizeClass(64.0, 1000, 8000, 1000 * 150.0)]
+    large = [spatial.SizeClass(64.0, 2_000_000, 16_000_000, 2e6 * 150.0)]
+    assert spatial.choose_grid(small).fits_broadcast
+    grid = spatial.choose_grid(large)
+    assert not grid.fits_broadcast and grid.tiers == 1
+    assert spatial.choose_grid([]).fits_broadcast
+
+
+def test_index_stays_within_its_bound(spark):
+    rng = random.Random(3)
+    polygons = layer(spark, [(f"s{i}", [star(rng, i * 3, 0, 2 + i % 5, 30)]) for i in range(40)])
+    grid = spatial.plan_grid(polygons)
+    rows = edges = 0
+    for tier in range(grid.tiers):
+        index = spatial.grid_index(polygons, grid, tier, ["name"]).select(
+            F.explode("candidates").alias("p"))
+        counted = index.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.size("p.edges"), F.lit(0))))
+        n, e = counted.first()
+        rows, edges = rows + n, edges + max(e, 0)
+    assert rows * spatial.CELL_BYTES + edges * spatial.EDGE_BYTES <= grid.index_bytes
+
+
+def test_attribute_names_must_be_free(spark, town):
+    with pytest.raises(ValueError, match="already have the columns x"):
+        spatial.attach_polygons(points(spark, POINTS), town.withColumn("x", F.lit(1)), ["x"])
+
+
+def test_ring_texts(spark):
+    wkt = [
+        "POLYGON ((0 0, 10 0, 10 10, 0 0))",
+        "POLYGON((0 0,10 0,10 10,0 0),(1 1,2 1,2 2,1 1))",
+        "MULTIPOLYGON (((0 0, 10 0, 10 10, 0 0)), ((20 0, 30 0, 30 10, 20 0), (21 1, 22 1, 22 2, 21 1)))",
+        "POLYGON Z ((0 0 5, 10 0 5, 10 10 5, 0 0 5))",
+    ]
+    rows = values(spark.createDataFrame([(w,) for w in wkt], "w string").select(
+        F.size(rings_from_wkt(F.col("w"))), rings_from_wkt(F.col("w"))[0][1]))
+    assert [r[0] for r in rows] == [1, 2, 3, 1]
+    assert all(tuple(r[1]) == (10.0, 0.0) for r in rows)
+    geo = [
+        '{"type":"Polygon","coordinates":[[[0,0],[10,0],[10,10],[0,0]],[[1,1],[2,1],[2,2],[1,1]]]}',
+        '{"type":"MultiPolygon","coordinates":[[[[0,0],[10,0],[10,10],[0,0]]],[[[9,9],[10,9],[10,10],[9,9]]]]}',
+    ]
+    rows = values(spark.createDataFrame([(g,) for g in geo], "g string").select(
+        F.size(rings_from_geojson(F.col("g"))), rings_from_geojson(F.col("g"))[0][1]))
+    assert [r[0] for r in rows] == [2, 2]
+    assert all(tuple(r[1]) == (10.0, 0.0) for r in rows)
