@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rentatlas.functions.text import location_part
+from rentatlas.functions.text import location_part, unique_names
 from rentatlas.operators.columns import (
     assert_columns,
     clean_header,
@@ -19,6 +19,8 @@ from rentatlas.operators.columns import (
 from rentatlas.sources.schema import COMPLETION_COLUMNS, STARTS_NAMES, conform_listings
 
 LATIN_1 = "ISO-8859-1"
+MISSING = "NA"
+INDEX_NAME = "_c0"
 
 
 class MissingSource(FileNotFoundError):
@@ -38,16 +40,32 @@ def read_csv(
     does not fit, fails the job. Files with line breaks inside quotes need ``multiline``; without
     it Spark can split large files, and a broken record still fails rather than passing.
     """
-    reader = spark.read.options(
-        header=True, nullValue="NA", quote='"', escape='"', encoding=encoding,
-        multiLine=multiline, mode="FAILFAST", enforceSchema=False, inferSchema=infer_types,
+    options = dict(
+        nullValue=MISSING, quote='"', escape='"', encoding=encoding, multiLine=multiline,
+        mode="FAILFAST",
     )
     try:
-        return reader.csv(path)
+        sample = spark.read.options(header=False, **options).csv(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise MissingSource(f"the file {path} does not exist") from error
         raise
+    header = sample.first()
+    if header is None:
+        raise MissingSource(f"the file {path} is empty")
+    # The parser shows a blank name as the missing value.
+    names = [MISSING if name is None else name for name in header]
+    final = unique_names([INDEX_NAME if name in (MISSING, "") else name for name in names])
+    repeated = len({n.lower() for n in names}) < len(names)
+    if repeated and len(sample.inputFiles()) > 1:
+        raise ValueError(f"the header of {path} repeats a name; read such files one by one")
+    reader = spark.read.options(header=True, enforceSchema=repeated, **options)
+    if infer_types:
+        return reader.option("inferSchema", True).csv(path).toDF(*final)
+    schema = T.StructType(
+        [T.StructField(n, T.StringType()) for n in (final if repeated else names)]
+    )
+    return reader.schema(schema).csv(path).toDF(*final)
 
 
 def read_listings(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
