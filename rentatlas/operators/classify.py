@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,15 +31,18 @@ def add_flags(df: DataFrame) -> DataFrame:
     )
 
 
+FLAGS = ["roomrent", "sublet", "shortterm", "shared"]
+
+
 def whole_units(df: DataFrame) -> DataFrame:
-    """Fresh offers of whole units; a NULL lag or flag drops the row."""
-    return df.where(
-        ~F.col("roomrent")
-        & ~F.col("sublet")
-        & ~F.col("shortterm")
-        & ~F.col("shared")
-        & (F.col("update_lag") <= MAX_LAG_DAYS)
-    )
+    """Fresh offers of whole units; a NULL lag or flag drops the row.
+
+    What passes has all flags false, so they are constants from here on and the titles are
+    searched only once, in the filter.
+    """
+    flagged = reduce(lambda a, b: a | b, [F.col(c) for c in FLAGS])
+    kept = df.where(~flagged & (F.col("update_lag") <= MAX_LAG_DAYS))
+    return kept.withColumns({c: F.lit(False) for c in FLAGS})
 
 
 def drop_probable_scams(df: DataFrame, rule: str | None = None) -> DataFrame:

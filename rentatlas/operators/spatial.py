@@ -204,19 +204,23 @@ def _hits(x: Column, y: Column, candidates: Column) -> Column:
     return F.transform(inside, _found)
 
 
-def _last_hit(x: Column, y: Column, candidates: Column) -> Column:
-    # Where the last candidate covers the whole cell the equi-join has already decided.
-    last = F.get(candidates, F.lit(0))
-    return F.when(last["edges"].isNull(), _found(last)).otherwise(
-        F.get(_hits(x, y, candidates), F.lit(0))
-    )
-
+def _hit_list(x: Column, y: Column, candidates: Column, match: str) -> Column:
+    """Hits of one cell, last first; at most one for ``last``.
 
-def _all_hits(x: Column, y: Column, candidates: Column) -> Column:
-    only = F.get(candidates, F.lit(0))
-    decided = (F.size(candidates) == 1) & only["edges"].isNull()
-    hits = F.when(decided, F.array(_found(only))).otherwise(_hits(x, y, candidates))
-    return F.coalesce(hits, F.array())
+    Where the first candidate covers the whole cell, and no other one counts, the equi-join has
+    already decided and no edge is looked at.
+    """
+    first = F.get(candidates, F.lit(0))
+    decided, hits = first["edges"].isNull(), _hits(x, y, candidates)
+    if match == "last":
+        hits = F.slice(hits, 1, 1)
+    else:
+        decided = decided & (F.size(candidates) == 1)
+    return (
+        F.when(candidates.isNull(), F.array())
+        .when(decided, F.array(_found(first)))
+        .otherwise(hits)
+    )
 
 
 def attach_polygons(
@@ -252,7 +256,6 @@ def attach_polygons(
     x, y = (null_if_nan(F.col(c)) for c in xy)
     joined = points.withColumns({"px": x, "py": y})
     hits = []
-    test = _last_hit if match == "last" else _all_hits
     for tier in range(grid.tiers):
         name = f"candidates_{tier}"
         index = grid_index(layer, grid, tier, attrs).select(
@@ -260,12 +263,13 @@ def attach_polygons(
             F.col("candidates").alias(name),
         )
         joined = _join_cells(joined, index, grid.tier_cell(tier), broadcast)
-        hits.append(test(F.col("px"), F.col("py"), F.col(name)))
-    if match == "all":
-        hit = F.explode_outer(F.concat(*hits))
-    else:
-        hit = F.array_max(F.array(*hits)) if len(hits) > 1 else hits[0]
-    return joined.select(*points.columns, hit.alias("hit")).select(
+        hits.append(_hit_list(F.col("px"), F.col("py"), F.col(name), match))
+    found = hits[0] if len(hits) == 1 else F.concat(*hits)
+    if match == "last" and len(hits) > 1:
+        found = F.slice(F.sort_array(found, asc=False), 1, 1)
+    # As a generator the edges are tested once per point, however often later filters and
+    # projections use the attributes.
+    return joined.select(*points.columns, F.explode_outer(found).alias("hit")).select(
         *points.columns, *[F.col(f"hit.attrs.{a}").alias(a) for a in attrs]
     )
 

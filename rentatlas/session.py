@@ -13,6 +13,9 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Generated methods beyond this size are never compiled to machine code by the JVM; the wide
+    # listing projections then run faster outside whole-stage code.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
