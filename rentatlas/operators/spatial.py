@@ -24,6 +24,7 @@ EDGE_BYTES = 48
 CELL_BYTES = 256
 NULL_CELL = -(1 << 52)
 NULL_CELL_SPREAD = 4096
+WORK_COLUMNS = ["px", "py", "cx", "cy", "index_x", "index_y", "hit"]
 
 
 @dataclass(frozen=True)
@@ -50,6 +51,7 @@ class SizeClass:
     n: int
     edges: int
     climb: float
+    attr_bytes: int = 0
 
 
 def add_state_plane(df: DataFrame, xy: tuple[str, str] = ("longitude", "latitude")) -> DataFrame:
@@ -90,24 +92,31 @@ def _tier(grid: Grid) -> Column:
 
 
 def layer_profile(polygons: DataFrame) -> list[SizeClass]:
-    """Polygons, edges and vertical edge length per doubling of the polygon side.
+    """Polygons, edges, vertical edge length and longest attributes per doubling of the side.
 
     One aggregate over the polygon layer alone. A double has about two thousand doublings, so
     the result is bounded however large the layer is.
     """
     climb = F.aggregate("edges", F.lit(0.0), lambda t, e: t + e["y2"] - e["y1"])
+    attrs = F.lit(0)
+    for c in polygons.columns:
+        if c not in ("poly_idx", "rings"):
+            text = F.col(f"`{c}`").cast("string")
+            attrs = attrs + F.coalesce(F.octet_length(text), F.lit(0))
     side = F.when(_side() > 0, _side()).otherwise(1.0)
     rows = (
         _with_edges(polygons)
         .select(F.ceil(F.log2(side)).alias("k"), F.size("edges").alias("edges"),
-                climb.alias("climb"))
+                climb.alias("climb"), attrs.alias("attr_bytes"))
         .groupBy("k")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("edges").alias("edges"),
-             F.sum("climb").alias("climb"))
+             F.sum("climb").alias("climb"), F.max("attr_bytes").alias("attr_bytes"))
         .orderBy("k")
         .collect()
     )
-    return [SizeClass(2.0 ** r["k"], r["n"], r["edges"], r["climb"]) for r in rows]
+    return [
+        SizeClass(2.0 ** r["k"], r["n"], r["edges"], r["climb"], r["attr_bytes"]) for r in rows
+    ]
 
 
 def choose_grid(profile: Sequence[SizeClass], cell: float | None = None) -> Grid:
@@ -148,7 +157,7 @@ def _bounded(profile: Sequence[SizeClass], cell: float) -> Grid:
             size, reach = size * MAX_CELLS_PER_SIDE, reach * MAX_CELLS_PER_SIDE
         across = c.side / size + 2
         # Every edge is kept in the rows of cells it spans, at most once per cell of the row.
-        total += c.n * across**2 * CELL_BYTES
+        total += c.n * across**2 * (CELL_BYTES + c.attr_bytes)
         total += (c.climb / size + 2 * c.edges) * across * EDGE_BYTES
     return Grid(cell, tiers, int(total))
 
@@ -244,9 +253,10 @@ def attach_polygons(
     if match not in ("last", "all"):
         raise ValueError(f"unknown match {match!r}")
     taken = {c.lower() for c in points.columns}
-    clash = [a for a in attrs if a.lower() in taken]
+    clash = [a for a in (*attrs, *WORK_COLUMNS) if a.lower() in taken]
     if clash:
         raise ValueError(f"the points already have the columns {', '.join(clash)}")
+    kept = [F.col(f"`{c}`") for c in points.columns]
     layer = polygon_layer(polygons, attrs)
     grid = grid or plan_grid(layer)
     broadcast = {"auto": grid.fits_broadcast, "broadcast": True, "shuffle": False}[strategy]
@@ -269,8 +279,8 @@ def attach_polygons(
         found = F.slice(F.sort_array(found, asc=False), 1, 1)
     # As a generator the edges are tested once per point, however often later filters and
     # projections use the attributes.
-    return joined.select(*points.columns, F.explode_outer(found).alias("hit")).select(
-        *points.columns, *[F.col(f"hit.attrs.{a}").alias(a) for a in attrs]
+    return joined.select(*kept, F.explode_outer(found).alias("hit")).select(
+        *kept, *[F.col(f"hit.attrs.{a}").alias(a) for a in attrs]
     )
 
 

@@ -164,6 +164,48 @@ def test_attribute_names_must_be_free(spark, town):
         spatial.attach_polygons(points(spark, POINTS), town.withColumn("x", F.lit(1)), ["x"])
 
 
+def test_working_names_and_dotted_names(spark, town):
+    with pytest.raises(ValueError, match="px"):
+        spatial.attach_polygons(points(spark, POINTS).withColumn("px", F.lit(1)), town, ["name"])
+    dotted = points(spark, POINTS[:1]).withColumn("a.b", F.lit(5))
+    out = spatial.attach_polygons(dotted, town, ["name"], strategy="shuffle")
+    assert out.columns == ["id", "x", "y", "a.b", "name"] and out.first()["a.b"] == 5
+
+
+def test_long_attributes_count_towards_the_bound(spark, town):
+    plain = spatial.plan_grid(spatial.polygon_layer(town, ["name"]))
+    long = town.withColumn("name", F.repeat(F.lit("n"), 10_000_000))
+    grid = spatial.plan_grid(spatial.polygon_layer(long, ["name"]))
+    assert plain.fits_broadcast and not grid.fits_broadcast
+
+
+def test_hot_cell_is_split_by_the_adaptive_join(spark, town):
+    pts = spark.range(200000).select(
+        "id", F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id") * 7.0).alias("x"),
+        F.lit(3.0).alias("y"), F.sha2(F.col("id").cast("string"), 256).alias("body"),
+    ).repartition(8)
+    changed = {
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1MB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1MB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        joined = spatial.attach_polygons(pts, town, ["name"], strategy="shuffle")
+        out = joined.agg(F.count(F.lit(1)), F.count_if(F.col("name") == "wide"),
+                         F.max(F.length("body")))
+        row = out.collect()[0]
+        assert row[0] == 200000 and row[1] >= 66667 and row[2] == 64
+        assert "skew=true" in plan_text(out)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_ring_texts(spark):
     wkt = [
         "POLYGON ((0 0, 10 0, 10 10, 0 0))",
