@@ -44,7 +44,7 @@ def blocks(
 ) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into pieces of bounded text size."""
     for batch in batches:
-        lengths = pc.binary_length(batch.column(text)).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         start = total = 0
         for i, n in enumerate(lengths):
             if total and total + n > limit:

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rentatlas.llm import packing, pii, warc
+from rentatlas.llm import (
+    chunks,
+    licenses,
+    minhash,
+    packing,
+    pieces,
+    pii,
+    quality,
+    simhash,
+    toxicity,
+    warc,
+)
 from rentatlas.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +27,28 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.sequences(licenses.scan(read_table(spark, sf_dir, "documents")))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.find_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.find_spans(read_table(spark, sf_dir, "documents")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, machine)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare_neighbours(read_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(read_table(spark, sf_dir, "pages"))
     return warc.read_archives(manifest, payloads=False).select(
@@ -27,8 +56,26 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    trees = quality.train(docs, read_table(spark, sf_dir, "labels"))
+    return quality.judge_documents(docs, trees)
+
+
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op1_best_fit_packing, op4_pii, op7_warc)
+    q.__name__: q
+    for q in (
+        op1_best_fit_packing, op2_licenses, op3_substring_dedup, op4_pii, op5_toxicity,
+        op6_simhash, op7_warc, op8_sentencepiece, op9_minhash, op10_quality,
+    )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_licenses": licenses.oracle_sql()}
