@@ -122,7 +122,7 @@ def licences_of(names: Column) -> Column:
     )
 
     def step(state: Column, rule: Column) -> Column:
-        hit = state["left"].rlike(rule["rule"])
+        hit = F.regexp_like(state["left"], rule["rule"])
         return F.struct(
             F.when(hit, F.regexp_replace(state["left"], rule["rule"], F.lit(";")))
             .otherwise(state["left"]).alias("left"),
