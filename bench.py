@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from rentatlas.plans.catalogue import PERIOD_TABLES  # noqa: E402
-from rentatlas.session import apply_required_conf  # noqa: E402
+from rentatlas.session import required_conf  # noqa: E402
 from workload.queries import QUERIES  # noqa: E402
 
 HEADLINE = [
@@ -48,7 +48,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    apply_required_conf(spark)
+
     timings = {}
     for name in HEADLINE:
         seconds(spark, name, sf_dir)

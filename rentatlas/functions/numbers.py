@@ -11,16 +11,6 @@ def round_half_even(value: Column) -> Column:
     return F.bround(value, 0)
 
 
-def na_mean(value: Column) -> Column:
-    """Mean that is NULL as soon as one value of the group is NULL."""
-    return F.when(F.count(value) == F.count(F.lit(1)), F.avg(value))
-
-
-def na_median(value: Column) -> Column:
-    """Exact median that is NULL as soon as one value of the group is NULL."""
-    return F.when(F.count(value) == F.count(F.lit(1)), F.median(value))
-
-
 def na_max(value: Column) -> Column:
     """Maximum that is NULL as soon as one value of the group is NULL."""
     return F.when(F.count(value) == F.count(F.lit(1)), F.max(value))

@@ -67,10 +67,18 @@ def snake_case(name: str) -> str:
 
 
 def unique_names(names: list[str]) -> list[str]:
-    """Number repeated names ``a, a_2, a_3``; names are compared without regard to case."""
-    seen: dict[str, int] = {}
+    """Number repeated names ``a, a_2, a_3``; names are compared without regard to case.
+
+    A number that another column already carries is skipped.
+    """
+    given = {n.lower() for n in names}
+    used: set[str] = set()
     result = []
     for name in names:
-        count = seen[name.lower()] = seen.get(name.lower(), 0) + 1
-        result.append(name if count == 1 else f"{name}_{count}")
+        unique, number = name, 1
+        while unique.lower() in used or (number > 1 and unique.lower() in given):
+            number += 1
+            unique = f"{name}_{number}"
+        used.add(unique.lower())
+        result.append(unique)
     return result

@@ -41,7 +41,7 @@ def clean_names(df: DataFrame) -> DataFrame:
 
 
 def clean_header(df: DataFrame) -> DataFrame:
-    return df.toDF(*[drop_header_dots(c) for c in df.columns])
+    return df.toDF(*unique_names([drop_header_dots(c) for c in df.columns]))
 
 
 def first_of_repeated(df: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Distributed point-in-polygon join over a grid of square cells.
 
-Polygons are cut into the cells they touch. Each cell keeps only the edges that matter to points
-inside it, and a cell no edge reaches is known to be covered as a whole. Points meet the cells of
-their own square by an equi-join, one row per point, so no row id and no nested loop is needed.
+Polygons are cut into the cells they touch, one row per polygon and cell. Each row keeps only the
+edges that matter to points inside its cell, and a cell no edge reaches is known to be covered as a
+whole. The different coordinates of the points meet the rows of their own cell by an equi-join, and
+the points take what was found for their coordinates by another one. Nothing is gathered per cell, so
+stacked polygons and crowded places stay rows that the adaptive join can split.
 """
 
 from __future__ import annotations
@@ -22,9 +24,7 @@ MAX_CELLS_PER_SIDE = 64
 BROADCAST_BYTES = 32 << 20
 EDGE_BYTES = 48
 CELL_BYTES = 256
-NULL_CELL = -(1 << 52)
-NULL_CELL_SPREAD = 4096
-WORK_COLUMNS = ["px", "py", "cx", "cy", "index_x", "index_y", "hit"]
+WORK_COLUMNS = ["px", "py", "point_salt", "hit_x", "hit_y", "hit_salt", "hit"]
 
 
 @dataclass(frozen=True)
@@ -62,9 +62,28 @@ def add_state_plane(df: DataFrame, xy: tuple[str, str] = ("longitude", "latitude
 
 
 def polygon_layer(df: DataFrame, attrs: Sequence[str]) -> DataFrame:
-    """Check a polygon table and keep ``poly_idx, rings`` and the attributes asked for."""
+    """Check a polygon table and keep ``poly_idx, rings`` and the attributes asked for.
+
+    Rings that are NULL, or hold a point without coordinates, could not be read and fail the job;
+    an empty geometry has no rings and covers nothing.
+    """
     assert_columns(df, ["poly_idx", "rings", *attrs], "the polygon layer")
-    return df.select("poly_idx", "rings", *[a for a in attrs if a != "poly_idx"])
+    broken = F.exists(
+        F.flatten("rings"),
+        lambda p: p.isNull() | p["x"].isNull() | p["y"].isNull() | F.isnan(p["x"]) | F.isnan(p["y"]),
+    )
+    what = F.concat(F.lit("polygon "), F.coalesce(F.col("poly_idx").cast("string"), F.lit("?")),
+                    F.lit(" has no readable rings"))
+    rings = F.when(F.coalesce(broken, F.lit(True)), F.raise_error(what)).otherwise(F.col("rings"))
+    return df.select(
+        "poly_idx", rings.cast(df.schema["rings"].dataType).alias("rings"),
+        *[a for a in attrs if a != "poly_idx"],
+    )
+
+
+def empty_polygons(df: DataFrame) -> int:
+    """Polygons of a layer that an empty geometry leaves without any ring."""
+    return df.where(F.size(F.flatten("rings")) == 0).count()
 
 
 def _with_edges(polygons: DataFrame) -> DataFrame:
@@ -83,12 +102,14 @@ def _side() -> Column:
     return F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
 
 
-def _tier(grid: Grid) -> Column:
+def _cell_size(grid: Grid) -> Column:
+    """Cell size of the tier a polygon belongs to by its longer side."""
     reach = F.greatest(_side() / (MAX_CELLS_PER_SIDE * grid.cell), F.lit(1.0))
-    tier = F.lit(0)
+    size = F.lit(grid.cell)
     for k in range(1, grid.tiers):
-        tier = F.when(reach > float(MAX_CELLS_PER_SIDE) ** (k - 1), F.lit(k)).otherwise(tier)
-    return tier
+        larger = reach > float(MAX_CELLS_PER_SIDE) ** (k - 1)
+        size = F.when(larger, F.lit(grid.tier_cell(k))).otherwise(size)
+    return size
 
 
 def layer_profile(polygons: DataFrame) -> list[SizeClass]:
@@ -162,12 +183,35 @@ def _bounded(profile: Sequence[SizeClass], cell: float) -> Grid:
     return Grid(cell, tiers, int(total))
 
 
-def grid_index(polygons: DataFrame, grid: Grid, tier: int, attrs: Sequence[str]) -> DataFrame:
-    """``cx, cy, candidates`` of one tier: the polygons that reach into each cell, last first."""
-    c = grid.tier_cell(tier)
-    edged = _with_edges(polygons)
-    if grid.tiers > 1:
-        edged = edged.where(_tier(grid) == tier)
+@dataclass(frozen=True)
+class PolygonIndex:
+    """Cells of a layer: ``cell, cx, cy, poly_idx``, its attributes and the ``edges`` that matter."""
+
+    rows: DataFrame
+    grid: Grid
+    attrs: tuple[str, ...]
+
+    def where(self, condition: Column | str) -> PolygonIndex:
+        """The polygons that meet a condition on the attributes."""
+        return PolygonIndex(self.rows.where(condition), self.grid, self.attrs)
+
+
+def index_polygons(
+    polygons: DataFrame, attrs: Sequence[str], grid: Grid | None = None,
+    last_only: bool = False,
+) -> PolygonIndex:
+    """The index of a layer; ``last_only`` leaves out polygons that are never a ``last`` match."""
+    layer = polygon_layer(polygons, attrs)
+    grid = grid or plan_grid(layer)
+    if last_only:
+        layer = last_of_same_rings(layer, attrs)
+    return PolygonIndex(grid_rows(layer, grid, attrs), grid, tuple(attrs))
+
+
+def grid_rows(polygons: DataFrame, grid: Grid, attrs: Sequence[str]) -> DataFrame:
+    """One row per polygon and cell it reaches into, over all tiers."""
+    c = F.col("cell")
+    edged = _with_edges(polygons).withColumn("cell", _cell_size(grid))
     low, right, left = F.col("cy") * c, (F.col("cx") + 1) * c, F.col("cx") * c
 
     def in_row(e: Column) -> Column:
@@ -183,17 +227,13 @@ def grid_index(polygons: DataFrame, grid: Grid, tier: int, attrs: Sequence[str])
     centre = F.pmod(crossings(left + c / 2, low + c / 2, F.col("edges")), F.lit(2)) == 1
     known = cells.withColumn("cut", cut).where(F.col("cut") | centre)
     # A cell that is covered as a whole keeps no edges.
-    candidate = F.struct(
-        "poly_idx",
-        F.struct(*attrs).alias("attrs"),
+    return known.select(
+        "cell", "cx", "cy", "poly_idx", *[a for a in attrs if a != "poly_idx"],
         F.when(F.col("cut"), F.col("edges")).alias("edges"),
     )
-    return known.groupBy("cx", "cy").agg(
-        F.sort_array(F.collect_list(candidate), asc=False).alias("candidates")
-    )
 
 
-def _cells(low: str, high: str, c: float) -> Column:
+def _cells(low: str, high: str, c: Column) -> Column:
     return F.sequence(F.floor(F.col(low) / c), F.floor(F.col(high) / c))
 
 
@@ -204,37 +244,9 @@ def last_of_same_rings(polygons: DataFrame, attrs: Sequence[str]) -> DataFrame:
     return polygons.groupBy("rings").agg(last).select("rings", "last.*")
 
 
-def _found(p: Column) -> Column:
-    return F.struct(p["poly_idx"].alias("poly_idx"), p["attrs"].alias("attrs"))
-
-
-def _hits(x: Column, y: Column, candidates: Column) -> Column:
-    inside = F.filter(candidates, lambda p: p["edges"].isNull() | covers(x, y, p["edges"]))
-    return F.transform(inside, _found)
-
-
-def _hit_list(x: Column, y: Column, candidates: Column, match: str) -> Column:
-    """Hits of one cell, last first; at most one for ``last``.
-
-    Where the first candidate covers the whole cell, and no other one counts, the equi-join has
-    already decided and no edge is looked at.
-    """
-    first = F.get(candidates, F.lit(0))
-    decided, hits = first["edges"].isNull(), _hits(x, y, candidates)
-    if match == "last":
-        hits = F.slice(hits, 1, 1)
-    else:
-        decided = decided & (F.size(candidates) == 1)
-    return (
-        F.when(candidates.isNull(), F.array())
-        .when(decided, F.array(_found(first)))
-        .otherwise(hits)
-    )
-
-
 def attach_polygons(
     points: DataFrame,
-    polygons: DataFrame,
+    polygons: DataFrame | PolygonIndex,
     attrs: Sequence[str],
     match: str = "last",
     xy: tuple[str, str] = ("x", "y"),
@@ -247,57 +259,79 @@ def attach_polygons(
     ``poly_idx``; ``all`` gives one row per covering polygon. Points without coordinates or
     without a polygon stay, with NULL attributes.
 
-    The index is broadcast only when its bound fits; otherwise points and index are shuffled
-    by cell and a crowded cell is split by the adaptive skew join.
+    ``polygons`` is a layer or an index made before. The index is broadcast only when its bound
+    fits; otherwise coordinates and index are shuffled by cell and a crowded cell is split by the
+    adaptive skew join.
     """
     if match not in ("last", "all"):
         raise ValueError(f"unknown match {match!r}")
+    if strategy not in ("auto", "broadcast", "shuffle"):
+        raise ValueError(f"unknown strategy {strategy!r}")
     taken = {c.lower() for c in points.columns}
     clash = [a for a in (*attrs, *WORK_COLUMNS) if a.lower() in taken]
     if clash:
         raise ValueError(f"the points already have the columns {', '.join(clash)}")
-    kept = [F.col(f"`{c}`") for c in points.columns]
-    layer = polygon_layer(polygons, attrs)
-    grid = grid or plan_grid(layer)
-    broadcast = {"auto": grid.fits_broadcast, "broadcast": True, "shuffle": False}[strategy]
-    if match == "last" and not broadcast:
-        layer = last_of_same_rings(layer, attrs)
+    if isinstance(polygons, PolygonIndex):
+        index = polygons
+    else:
+        layer = polygon_layer(polygons, attrs)
+        grid = grid or plan_grid(layer)
+        alone = match == "last" and (strategy == "shuffle" or not grid.fits_broadcast)
+        index = index_polygons(polygons, attrs, grid, last_only=alone)
+    if strategy == "broadcast" and not index.grid.fits_broadcast:
+        raise ValueError(f"an index of up to {index.grid.index_bytes} bytes is not broadcast")
+    broadcast = strategy != "shuffle" and index.grid.fits_broadcast
 
+    kept = [F.col(f"`{c}`") for c in points.columns]
     x, y = (null_if_nan(F.col(c)) for c in xy)
-    joined = points.withColumns({"px": x, "py": y})
-    hits = []
-    for tier in range(grid.tiers):
-        name = f"candidates_{tier}"
-        index = grid_index(layer, grid, tier, attrs).select(
-            F.col("cx").alias("index_x"), F.col("cy").alias("index_y"),
-            F.col("candidates").alias(name),
-        )
-        joined = _join_cells(joined, index, grid.tier_cell(tier), broadcast)
-        hits.append(_hit_list(F.col("px"), F.col("py"), F.col(name), match))
-    found = hits[0] if len(hits) == 1 else F.concat(*hits)
-    if match == "last" and len(hits) > 1:
-        found = F.slice(F.sort_array(found, asc=False), 1, 1)
-    # As a generator the edges are tested once per point, however often later filters and
-    # projections use the attributes.
-    return joined.select(*kept, F.explode_outer(found).alias("hit")).select(
-        *kept, *[F.col(f"hit.attrs.{a}").alias(a) for a in attrs]
+    # Adding zero makes -0.0 a plain zero.
+    placed = points.withColumns({"px": x + F.lit(0.0), "py": y + F.lit(0.0)})
+    places = placed.where(F.col("px").isNotNull() & F.col("py").isNotNull()).select(
+        "px", "py"
+    ).distinct()
+    found = covering(places, index, attrs, broadcast)
+    if match == "last":
+        found = found.groupBy("px", "py").agg(F.max("hit").alias("hit"))
+    hits = found.select(
+        F.col("px").alias("hit_x"), F.col("py").alias("hit_y"), F.lit(0).cast("bigint").alias(
+            "hit_salt"), "hit",
+    )
+    # Points without coordinates match nothing; their salt spreads them over all tasks.
+    plain = [
+        f.name for f in points.schema.fields
+        if f.dataType.typeName() not in ("array", "map", "struct", "variant")
+    ]
+    nowhere = F.col("px").isNull() | F.col("py").isNull()
+    salted = placed.withColumn(
+        "point_salt",
+        F.when(nowhere, F.xxhash64(*[F.col(f"`{p}`") for p in plain])).otherwise(F.lit(0)),
+    )
+    same = (
+        (F.col("px") == F.col("hit_x")) & (F.col("py") == F.col("hit_y"))
+        & (F.col("point_salt") == F.col("hit_salt"))
+    )
+    return salted.join(hits, same, "left").select(
+        *kept, *[F.col(f"hit.{a}").alias(a) for a in attrs]
     )
 
 
-def _join_cells(joined: DataFrame, index: DataFrame, c: float, broadcast: bool) -> DataFrame:
-    cx, cy = F.floor(F.col("px") / c), F.floor(F.col("py") / c)
-    if broadcast:
-        index = F.broadcast(index)
-    else:
-        # Points without coordinates must not pile up in one task: give them cells of their own.
-        plain = [
-            f.name for f in joined.schema.fields
-            if f.dataType.typeName() not in ("array", "map", "struct")
-        ]
-        spread = F.pmod(F.xxhash64(*[F.col(f"`{p}`") for p in plain]), F.lit(NULL_CELL_SPREAD))
-        cx = F.coalesce(cx, F.lit(NULL_CELL) - spread)
-        cy = F.coalesce(cy, F.lit(NULL_CELL))
-        index = index.hint("merge")
-    left = joined.withColumns({"cx": cx, "cy": cy})
-    match = (F.col("cx") == F.col("index_x")) & (F.col("cy") == F.col("index_y"))
-    return left.join(index, match, "left").drop("cx", "cy", "index_x", "index_y")
+def covering(
+    places: DataFrame, index: PolygonIndex, attrs: Sequence[str], broadcast: bool = False
+) -> DataFrame:
+    """``px, py, hit``: every polygon that covers a place, ``poly_idx`` first in ``hit``."""
+    rest = [a for a in attrs if a != "poly_idx"]
+    rows = index.rows.select(
+        F.col("cell").alias("index_cell"), F.col("cx").alias("index_x"),
+        F.col("cy").alias("index_y"), F.struct("poly_idx", *rest).alias("hit"), "edges",
+    )
+    sizes = [F.lit(index.grid.tier_cell(k)) for k in range(index.grid.tiers)]
+    cells = places.withColumn("cell", F.explode(F.array(*sizes))).withColumns(
+        {"cx": F.floor(F.col("px") / F.col("cell")), "cy": F.floor(F.col("py") / F.col("cell"))}
+    )
+    rows = F.broadcast(rows) if broadcast else rows.hint("merge")
+    match = (
+        (F.col("cx") == F.col("index_x")) & (F.col("cy") == F.col("index_y"))
+        & (F.col("cell") == F.col("index_cell"))
+    )
+    inside = F.col("edges").isNull() | covers(F.col("px"), F.col("py"), F.col("edges"))
+    return cells.join(rows, match).where(inside).select("px", "py", "hit")

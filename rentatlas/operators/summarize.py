@@ -94,7 +94,9 @@ def summarize(df: DataFrame, product: Product) -> DataFrame:
 def summarize_all(df: DataFrame, products: Sequence[Product]) -> DataFrame:
     """All products in one pass as a long table of ``product``, every key and the statistics.
 
-    Rows are first counted at the finest grain, so the grouping sets expand counts, not rows.
+    Rows are first counted at the finest grain. Each counted row then becomes one row per product,
+    with the keys the product does not have left empty, and these are counted once more; both the
+    band totals and the ranking start from that one shuffle.
     """
     dims = list(dict.fromkeys(k for p in products for k in p.keys))
     grain = (
@@ -102,21 +104,23 @@ def summarize_all(df: DataFrame, products: Sequence[Product]) -> DataFrame:
         .groupBy(*dims, "ask")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    columns = [*dims, "ask"]
-    asks = grain.groupingSets(
-        [[F.col(k) for k in (*p.keys, "ask")] for p in products], *[F.col(c) for c in columns]
-    ).agg(F.grouping_id().alias("set_id"), F.sum("n").alias("n"))
-    named = asks.withColumn("product", _product_of(products, columns)).drop("set_id")
-    return stats_of_counts(named, ["product", *dims])
-
-
-def _product_of(products: Sequence[Product], columns: Sequence[str]) -> Column:
-    name = F.lit(None).cast("string")
-    for p in products:
-        kept = {*p.keys, "ask"}
-        set_id = sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in kept)
-        name = F.when(F.col("set_id") == set_id, p.name).otherwise(name)
-    return name
+    types = {f.name: f.dataType for f in grain.schema.fields}
+
+    def keys_of(p: Product) -> Column:
+        return F.struct(
+            F.lit(p.name).alias("product"),
+            *[
+                (F.col(d) if d in p.keys else F.lit(None).cast(types[d])).alias(d) for d in dims
+            ],
+        )
+
+    asks = (
+        grain.select(F.explode(F.array(*[keys_of(p) for p in products])).alias("key"), "ask", "n")
+        .select("key.*", "ask", "n")
+        .groupBy("product", *dims, "ask")
+        .agg(F.sum("n").alias("n"))
+    )
+    return stats_of_counts(asks, ["product", *dims])
 
 
 def product_rows(long: DataFrame, product: Product) -> DataFrame:

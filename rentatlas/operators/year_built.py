@@ -9,9 +9,6 @@ from rentatlas.functions.dates import year_of_mdy
 from rentatlas.functions.numbers import na_max
 from rentatlas.functions.recode import age_band, known_year, year_built
 
-NULL_KEY_PREFIX = "\u0000"
-NULL_KEY_SPREAD = 4096
-
 
 def latest_per_key(
     df: DataFrame, key: str, year: str, order: str, mode: str = "both_max"
@@ -57,25 +54,28 @@ def completion_years(
     return years.groupBy("parloc_id").agg(F.max("bos_yr_built").alias("bos_yr_built"))
 
 
-def scattered_key(df: DataFrame, key: str) -> Column:
-    """Join key equal to ``key`` with the NULLs spread over many values that match nothing."""
+def key_salt(df: DataFrame, key: str) -> Column:
+    """0 beside a key, a hash of the whole row beside a missing one."""
     plain = [
         f.name for f in df.schema.fields
-        if f.dataType.typeName() not in ("array", "map", "struct")
+        if f.dataType.typeName() not in ("array", "map", "struct", "variant")
     ]
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(NULL_KEY_SPREAD))
-    return F.coalesce(F.col(key), F.concat(F.lit(NULL_KEY_PREFIX), spread.cast("string")))
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+    return F.when(F.col(key).isNull(), row).otherwise(F.lit(0))
 
 
 def left_join_on_key(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    """Left join where NULL keys never match and do not pile up in one task."""
-    right = other.where(
-        F.col(key).isNotNull() & ~F.col(key).startswith(NULL_KEY_PREFIX)
-    ).withColumnRenamed(key, "other_key")
-    left = df.withColumn("scattered_key", scattered_key(df, key))
-    return left.join(right, F.col("scattered_key") == F.col("other_key"), "left").drop(
-        "scattered_key", "other_key"
+    """Left join where NULL keys never match and do not pile up in one task.
+
+    The salt is a join key of its own, so rows without a key spread over all tasks however many
+    there are, and any text may be a key.
+    """
+    right = other.where(F.col(key).isNotNull()).withColumnRenamed(key, "other_key").withColumn(
+        "other_salt", F.lit(0).cast("bigint")
     )
+    left = df.withColumn("key_salt", key_salt(df, key))
+    same = (F.col(key) == F.col("other_key")) & (F.col("key_salt") == F.col("other_salt"))
+    return left.join(right, same, "left").drop("key_salt", "other_key", "other_salt")
 
 
 def join_starts(df: DataFrame, starts: DataFrame) -> DataFrame:
@@ -101,12 +101,11 @@ def join_partner_years(df: DataFrame, starts: DataFrame, completions: DataFrame)
     times, just as the two joins in a row.
     """
     known = F.col("parloc_id").isNotNull()
-    years = (
-        starts.where(known)
-        .select("parloc_id", "camb_yr_built")
-        .join(
-            completions.where(known).select("parloc_id", "bos_yr_built"), "parloc_id", "full"
-        )
+    starts = starts.where(known).select("parloc_id", "camb_yr_built")
+    done = completions.where(known).select("parloc_id", "bos_yr_built")
+    # A left join and its complement: unlike a full outer join both can split a hot parcel.
+    years = starts.join(done, "parloc_id", "left").unionByName(
+        done.join(starts, "parloc_id", "left_anti"), allowMissingColumns=True
     )
     return left_join_on_key(df, years, "parloc_id").withColumns(
         {c: F.coalesce(F.col(c), F.lit(0)) for c in ("camb_yr_built", "bos_yr_built")}

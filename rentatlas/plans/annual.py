@@ -19,11 +19,12 @@ from rentatlas.plans.catalogue import (
     ANNUAL_FORWARD,
     ANNUAL_PRODUCTS,
 )
-from rentatlas.plans.period import write_products
-from rentatlas.session import apply_required_conf, stage
+from rentatlas.plans.period import stage_products, write_products
+from rentatlas.session import Staging, required_conf
 from rentatlas.sinks.csv import write_by_town, write_csv
 from rentatlas.sinks.points import unit_points, write_points
 from rentatlas.sources.schema import (
+    NOT_ANNUAL,
     PARCEL_ATTRS,
     UNIT_TYPES,
     ZIP_ATTRS,
@@ -74,7 +75,7 @@ def annual_units(
         for name, kind in UNIT_TYPES.items() if name not in df.columns
     }
     df = df.withColumns(absent)
-    return df.select(*unit_columns(df))
+    return df.select(*unit_columns(df, NOT_ANNUAL))
 
 
 def run_year(
@@ -85,23 +86,31 @@ def run_year(
     parcels: DataFrame | None = None,
     zips: DataFrame | None = None,
     scam: str | None = None,
+    forward: bool = False,
+    xy: tuple[str, str] = ("longitude", "latitude"),
 ) -> None:
-    """Write the unit tables, counts and all annual and quarterly summaries of one year."""
-    apply_required_conf(spark)
-    units = stage(annual_units(quarters, parcels, zips), "annual-units")
-    clean = clean_units(units, scam)
-    long = stage(summarize_all(clean, ANNUAL_PRODUCTS), "annual-summaries")
-    region, towns = f"{out}/period={period}", f"{out}/towns/period={period}"
-    counts = sorted_by_keys(summarize(units, ANNUAL_COUNTS), ANNUAL_COUNTS.keys)
-    write_csv(counts, f"{region}/product={ANNUAL_COUNTS.name}")
-    write_csv(units, f"{region}/product=units")
-    write_csv(clean, f"{region}/product=clean_units")
-    write_by_town(clean, f"{towns}/product=clean_units", rebalance=True)
-    write_products(long, ANNUAL_PRODUCTS, region, towns)
+    """Write the unit tables, counts and all annual and quarterly summaries of one year.
+
+    ``forward`` adds the summary of the forward-geocoded units, which is not published as a rule.
+    """
+    with required_conf(spark), Staging(spark) as staging:
+        units = staging.stage(annual_units(quarters, parcels, zips, xy), "units")
+        clean = clean_units(units, scam)
+        long = stage_products(staging, summarize_all(clean, ANNUAL_PRODUCTS))
+        region, towns = f"{out}/period={period}", f"{out}/towns/period={period}"
+        counts = sorted_by_keys(summarize(units, ANNUAL_COUNTS), ANNUAL_COUNTS.keys)
+        write_csv(counts, f"{region}/product={ANNUAL_COUNTS.name}")
+        write_csv(units, f"{region}/product=units")
+        write_csv(clean, f"{region}/product=clean_units")
+        write_by_town(clean, f"{towns}/product=clean_units", rebalance=True)
+        write_products(long, ANNUAL_PRODUCTS, region, towns)
+        if forward:
+            table = sorted_by_keys(forward_summary(clean), ANNUAL_FORWARD.keys)
+            write_csv(table, f"{region}/product={ANNUAL_FORWARD.name}")
 
 
 def forward_summary(clean: DataFrame) -> DataFrame:
-    """Summary of the forward-geocoded units, computed on request and not published."""
+    """Summary of the forward-geocoded units."""
     return summarize(forward_geocoded(clean), ANNUAL_FORWARD)
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentatlas.operators.classify import add_flags, clean_units, whole_units
 from rentatlas.operators.normalize import normalize_listings
-from rentatlas.operators.spatial import add_state_plane, attach_polygons
+from rentatlas.operators.spatial import (
+    PolygonIndex,
+    add_state_plane,
+    attach_polygons,
+    index_polygons,
+)
 from rentatlas.operators.summarize import product_rows, sorted_by_keys, summarize_all
 from rentatlas.operators.year_built import (
     completion_years,
@@ -18,18 +23,21 @@ from rentatlas.operators.year_built import (
     override_year_built,
 )
 from rentatlas.plans.catalogue import PERIOD_PRODUCTS, Product
-from rentatlas.session import apply_required_conf, stage
+from rentatlas.session import Staging, required_conf
 from rentatlas.sinks.csv import write_by_town, write_csv
 from rentatlas.sources.schema import PARCEL_ATTRS, ZIP_ATTRS, unit_columns
 
 
 @dataclass(frozen=True)
 class Inputs:
-    """``listings`` and ``starts`` as the readers give them, layers with ``poly_idx, rings``."""
+    """``listings`` and ``starts`` as the readers give them.
+
+    ``parcels`` and ``zips`` are layers with ``poly_idx, rings`` or indexes made of them.
+    """
 
     listings: DataFrame
-    parcels: DataFrame
-    zips: DataFrame
+    parcels: DataFrame | PolygonIndex
+    zips: DataFrame | PolygonIndex
     starts: DataFrame
     completions: DataFrame
 
@@ -48,6 +56,32 @@ class Rules:
     scam: str | None = None
 
 
+OVERLAY = [
+    *PARCEL_ATTRS, *ZIP_ATTRS, "zip_code", "zip_muni", "camb_yr_built", "bos_yr_built", "periodblt",
+    "x", "y",
+]
+
+
+def indexed(inputs: Inputs, staging: Staging | None = None) -> Inputs:
+    """The layers as indexes: each is planned and cut into cells once for all its joins.
+
+    With ``staging`` the cells are written once as well.
+    """
+
+    def one(layer: DataFrame | PolygonIndex, attrs: list[str], name: str) -> PolygonIndex:
+        if isinstance(layer, PolygonIndex):
+            return layer
+        index = index_polygons(layer, attrs)
+        rows = staging.stage(index.rows, name) if staging else index.rows
+        return PolygonIndex(rows, index.grid, index.attrs)
+
+    return replace(
+        inputs,
+        parcels=one(inputs.parcels, [*PARCEL_ATTRS, "muni"], "parcel-cells"),
+        zips=one(inputs.zips, ZIP_ATTRS, "zip-cells"),
+    )
+
+
 def starts_by_parcel(inputs: Inputs, rules: Rules) -> DataFrame:
     """Latest housing start of each parcel of the permitting town."""
     town = inputs.parcels.where(F.col("muni") == rules.starts_town)
@@ -72,10 +106,12 @@ def enrich(listings: DataFrame, inputs: Inputs, rules: Rules) -> DataFrame:
 def build_units(inputs: Inputs, rules: Rules = Rules()) -> DataFrame:
     """Fresh whole units with the published columns in their order.
 
-    The unit filter needs listing columns only, so it runs before the joins.
+    The unit filter needs listing columns only, so it runs before the joins. What an extract
+    already carries of the columns the joins attach (``OVERLAY``) is replaced.
     """
-    listings = whole_units(add_flags(normalize_listings(inputs.listings, rules.parity)))
-    units = enrich(listings, inputs, rules)
+    fresh = inputs.listings.drop(*OVERLAY)
+    listings = whole_units(add_flags(normalize_listings(fresh, rules.parity)))
+    units = enrich(listings, indexed(inputs), rules)
     return units.select(*unit_columns(units))
 
 
@@ -97,12 +133,17 @@ def run_period(
     The units are staged once, as the spatial and partner joins are the costly part; the clean
     units are a filter on the staged files, pushed into their scan.
     """
-    apply_required_conf(spark)
-    units = stage(build_units(inputs, rules), "units")
-    clean = clean_units(units, rules.scam)
-    long = stage(summarize_all(clean, PERIOD_PRODUCTS), "summaries")
-    region, towns = f"{out}/period={period}", f"{out}/towns/period={period}"
-    write_csv(units, f"{region}/product=units")
-    write_csv(clean, f"{region}/product=clean_units")
-    write_by_town(clean, f"{towns}/product=clean_units", rebalance=True)
-    write_products(long, PERIOD_PRODUCTS, region, towns)
+    with required_conf(spark), Staging(spark) as staging:
+        units = staging.stage(build_units(indexed(inputs, staging), rules), "units")
+        clean = clean_units(units, rules.scam)
+        long = stage_products(staging, summarize_all(clean, PERIOD_PRODUCTS))
+        region, towns = f"{out}/period={period}", f"{out}/towns/period={period}"
+        write_csv(units, f"{region}/product=units")
+        write_csv(clean, f"{region}/product=clean_units")
+        write_by_town(clean, f"{towns}/product=clean_units", rebalance=True)
+        write_products(long, PERIOD_PRODUCTS, region, towns)
+
+
+def stage_products(staging: Staging, long: DataFrame) -> DataFrame:
+    """The summaries with a folder per product, so that each table reads its own files only."""
+    return staging.stage(long, "summaries", ["product"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,10 +21,20 @@ REQUIRED_CONF = {
 }
 
 
-def apply_required_conf(spark: SparkSession) -> SparkSession:
+@contextmanager
+def required_conf(spark: SparkSession) -> Iterator[SparkSession]:
+    """The settings above for the time of a job; the caller's own come back afterwards."""
+    before = {key: spark.conf.get(key, None) for key in REQUIRED_CONF}
     for key, value in REQUIRED_CONF.items():
         spark.conf.set(key, value)
-    return spark
+    try:
+        yield spark
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,12 +52,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+class Staging:
+    """Tables written to the shared folder for the time of a job, and removed with it.
 
-    Everything downstream starts from files, so a lost executor costs only its own tasks.
+    Everything downstream of a staged table starts from files, so a lost executor costs only its
+    own tasks.
     """
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = os.path.join(shared_dir(spark), f"rentatlas-{uuid.uuid4().hex}")
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def stage(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+        path = os.path.join(self.root, name)
+        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+        writer.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -21,6 +21,10 @@ from rentatlas.sources.schema import COMPLETION_COLUMNS, STARTS_NAMES, conform_l
 LATIN_1 = "ISO-8859-1"
 MISSING = "NA"
 INDEX_NAME = "_c0"
+#: Stands for an unquoted blank while a file is parsed; no text holds it.
+BLANK_MARK = "\u0001blank\u0001"
+# What the permitting town's records are marked with.
+STARTS_TOWN, STARTS_STATE = "Cambridge", "MA"
 
 
 class MissingSource(FileNotFoundError):
@@ -33,15 +37,23 @@ def read_csv(
     encoding: str = "UTF-8",
     multiline: bool = True,
     infer_types: bool = False,
+    blank: str = "text",
+    repeated: str = "number",
 ) -> DataFrame:
-    """All columns as text, ``NA`` and blank as NULL, names from the header.
+    """All columns as text, ``NA`` as NULL, names from the header.
+
+    ``blank="text"`` keeps an empty field as an empty text, which is no missing value (it is none
+    of any number either once a column is typed); ``"null"`` reads it as NULL. ``repeated`` numbers
+    names that occur again, or keeps the ``"first"`` of them.
 
     Every file must carry the header of the first one; a file that differs, or a record that
     does not fit, fails the job. Files with line breaks inside quotes need ``multiline``; without
     it Spark can split large files, and a broken record still fails rather than passing.
     """
+    if blank not in ("text", "null") or repeated not in ("number", "first"):
+        raise ValueError(f"unknown choice {blank!r} or {repeated!r}")
     options = dict(
-        nullValue=MISSING, quote='"', escape='"', encoding=encoding, multiLine=multiline,
+        nullValue=BLANK_MARK, quote='"', escape='"', encoding=encoding, multiLine=multiline,
         mode="FAILFAST",
     )
     try:
@@ -53,19 +65,39 @@ def read_csv(
     header = sample.first()
     if header is None:
         raise MissingSource(f"the file {path} is empty")
-    # The parser shows a blank name as the missing value.
-    names = [MISSING if name is None else name for name in header]
+    names = ["" if name is None else name for name in header]
     final = unique_names([INDEX_NAME if name in (MISSING, "") else name for name in names])
-    repeated = len({n.lower() for n in names}) < len(names)
-    if repeated and len(sample.inputFiles()) > 1:
+    again = len({n.lower() for n in names}) < len(names)
+    if again and len(sample.inputFiles()) > 1:
         raise ValueError(f"the header of {path} repeats a name; read such files one by one")
-    reader = spark.read.options(header=True, enforceSchema=repeated, **options)
     if infer_types:
-        return reader.option("inferSchema", True).csv(path).toDF(*final)
-    schema = T.StructType(
-        [T.StructField(n, T.StringType()) for n in (final if repeated else names)]
-    )
-    return reader.schema(schema).csv(path).toDF(*final)
+        reader = spark.read.options(header=True, **{**options, "nullValue": MISSING})
+        df = reader.option("inferSchema", True).csv(path).toDF(*final)
+    else:
+        # The parser names a blank header field by the mark as well.
+        seen = [BLANK_MARK if name == "" else name for name in names]
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in (final if again else seen)])
+        reader = spark.read.options(header=True, enforceSchema=again, **options)
+        df = _without_missing(reader.schema(schema).csv(path).toDF(*final), blank)
+    if repeated == "first":
+        lower = [n.lower() for n in names]
+        first = [n for i, n in enumerate(final) if not lower[i] or lower.index(lower[i]) == i]
+        df = df.select(*[F.col(f"`{n}`") for n in first])
+    return df
+
+
+def _without_missing(df: DataFrame, blank: str) -> DataFrame:
+    """``NA`` as NULL and blanks, which the parser shows as NULL, as asked for."""
+
+    def cell(name: str):
+        value = F.col(f"`{name}`")
+        if blank == "text":
+            kept = F.when(value.isNull(), F.lit("")).when(value != MISSING, value)
+        else:
+            kept = F.when((value != MISSING) & (value != ""), value)
+        return kept.alias(name)
+
+    return df.select(*[cell(c) for c in df.columns])
 
 
 def read_listings(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
@@ -77,7 +109,7 @@ def read_starts(
     spark: SparkSession, path: str, order: tuple[str, str] = ("latitude", "longitude"),
     **options,
 ) -> DataFrame:
-    """Housing starts as ``camb_yr_built, ord, latitude, longitude``."""
+    """Housing starts as ``camb_yr_built, ord, latitude, longitude, Muni, State``."""
     return parse_starts(read_csv(spark, path, **options), order)
 
 
@@ -92,6 +124,8 @@ def parse_starts(
         F.col("camb_yr_built").try_cast("int").alias("camb_yr_built"),
         F.col("ord").try_cast("bigint").alias("ord"),
         *[location_part(F.col("location"), i).alias(name) for i, name in enumerate(order)],
+        F.lit(STARTS_TOWN).alias("Muni"),
+        F.lit(STARTS_STATE).alias("State"),
     )
 
 
@@ -101,14 +135,19 @@ def read_completions(
     update: str | None = None,
     key: str = "parloc_id",
     encoding: str = LATIN_1,
+    declared: bool = False,
     **options,
 ) -> DataFrame:
     """Housing completions as ``parloc_id, complete_date``, both text.
 
     ``key`` is ``parloc_id`` or ``ward_parcel``; with ``update`` its rows are added to the older
-    file, reduced to the columns of that file.
+    file, reduced to the columns of that file. ``declared`` holds the older file to the known
+    header.
     """
-    done = clean_names(read_csv(spark, older, encoding, **options))
+    if declared:
+        done = clean_names(read_declared_text(spark, older, encoding=encoding))
+    else:
+        done = clean_names(read_csv(spark, older, encoding, **options))
     if key != "parloc_id":
         done = done.drop("parloc_id").withColumnRenamed(key, "parloc_id")
     if update:

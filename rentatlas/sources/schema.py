@@ -44,12 +44,13 @@ LISTING_TYPES: dict[str, str] = {
     "uniqueid": "string",
 }
 
+# The columns every vintage must have.
 REQUIRED_LISTING_COLUMNS = [
     "ask", "numRooms", "title", "source_id", "post_date", "updated_date", "month", "year",
     "latitude", "longitude", "ct10_id", "muni", "neighborhood_01",
 ]
 
-# Only some vintages are geocoded; these columns are never made up for the others.
+# Columns of the geocoded vintages only; never made up for the others.
 GEOCODED_TYPES: dict[str, str] = {
     "fwd_geolocated": "boolean",
     "rev_geolocated": "boolean",
@@ -68,7 +69,7 @@ GEOCODED_TYPES: dict[str, str] = {
     "joint_addresses_merge": "string",
 }
 
-# Columns a finished unit table carries beyond those of an extract.
+# Columns a finished unit table carries beyond those of an extract.
 UNIT_TYPES: dict[str, str] = {
     "update_lag": "int",
     "quarter": "string",
@@ -88,6 +89,7 @@ UNIT_TYPES: dict[str, str] = {
     "bos_yr_built": "int",
 }
 
+# Names that differ between vintages.
 LISTING_NAMES: dict[str, str] = {
     "Year": "year",
     "Month": "month",
@@ -111,6 +113,9 @@ UNIT_COLUMNS = [
     "parloc_id", "luc_adj_1", "luc_adj_2", "yr_built", "camb_yr_built", "bos_yr_built",
 ]
 
+# The yearly unit tables are published without these.
+NOT_ANNUAL = ["id", "ADDR_NUM_merge"]
+
 PARCEL_ATTRS = ["parloc_id", "luc_adj_1", "luc_adj_2", "yr_built"]
 ZIP_ATTRS = ["postcode", "pc_name"]
 
@@ -122,6 +127,7 @@ STARTS_NAMES = {
     "Location": "location",
 }
 
+# The header of the completions file.
 COMPLETION_COLUMNS = [
     "Project", "Street Number", "Street Name", "Total New Units", "Complete Date", "COO Number",
     "Permit #", "Agency", "Planning District", "Market Area", "TOD 5 Min Walk", "TOD 1/2 Mile",
@@ -163,6 +169,21 @@ def conform_listings(df: DataFrame) -> DataFrame:
     )
 
 
-def unit_columns(df: DataFrame) -> list[str]:
+def unit_columns(df: DataFrame, without: Iterable[str] = ()) -> list[str]:
     present = {c.lower() for c in df.columns}
-    return [c for c in UNIT_COLUMNS if c.lower() in present]
+    return [c for c in UNIT_COLUMNS if c.lower() in present and c not in without]
+
+
+def unreadable(raw: DataFrame, names: Mapping[str, str], types: Mapping[str, str]) -> DataFrame:
+    """How many values of each typed column hold text that is not of the type: ``column, rows``."""
+    named = rename_present(raw, names)
+    present = {c.lower(): c for c in named.columns}
+    checked = [c for c, t in types.items() if t != "string" and c.lower() in present]
+    counts = named.agg(*[
+        F.count_if(
+            (F.trim(F.col(f"`{present[c.lower()]}`").cast("string")) != "")
+            & F.col(f"`{present[c.lower()]}`").try_cast(types[c]).isNull()
+        ).alias(c)
+        for c in checked
+    ])
+    return counts.unpivot([], checked, "column", "rows").where("rows > 0")

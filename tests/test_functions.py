@@ -70,6 +70,8 @@ def test_names():
         "complete_date", "permit_number", "tod_1_2_mile", "ward_parcel", "lat", "num_rooms",
     ]
     assert text.unique_names(["a", "b", "A", "a"]) == ["a", "b", "A_2", "a_3"]
+    assert text.unique_names(["a", "a", "a_2"]) == ["a", "a_3", "a_2"]
+    assert text.unique_names(["a_2", "a", "A"]) == ["a_2", "a", "A_3"]
 
 
 def test_day_lag(spark):

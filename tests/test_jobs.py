@@ -4,15 +4,19 @@ import csv
 import glob
 import json
 import os
+from dataclasses import replace
 
 import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
-from rentatlas.__main__ import main
+from rentatlas.__main__ import main, parser, read_polygons, rules_of
 from rentatlas.functions.geometry import RINGS_TYPE
 from rentatlas.operators.columns import MissingColumns
 from rentatlas.plans.annual import annual_units, forward_summary, run_year
+from rentatlas.operators.classify import clean_units
+from rentatlas.operators.summarize import summarize
+from rentatlas.plans.catalogue import PERIOD_TABLES
 from rentatlas.plans.period import Inputs, Rules, build_units, run_period
 from rentatlas.sinks.csv import write_csv
 from rentatlas.sinks.points import unit_points
@@ -26,7 +30,14 @@ from rentatlas.sources.csv import (
     read_starts,
 )
 from rentatlas.sources.polygons import read_geojson, read_layer, with_rings
-from rentatlas.sources.schema import COMPLETION_COLUMNS, PARCEL_ATTRS, ZIP_ATTRS
+from rentatlas.sources.schema import (
+    COMPLETION_COLUMNS,
+    LISTING_NAMES,
+    LISTING_TYPES,
+    PARCEL_ATTRS,
+    ZIP_ATTRS,
+    unreadable,
+)
 
 HEADER = [
     "", "id", "ask", "bedrooms", "numRooms", "title", "original_title", "source_id", "survey_id",
@@ -165,6 +176,33 @@ def test_swapped_location_order(spark, files):
     assert (row.longitude, row.latitude) == (42.36, -71.12)
 
 
+# The published headers.
+ROOMS = ["studio", "one_bedroom", "two_bedroom", "three_bedroom", "four_bedroom"]
+PERIOD_HEADER = [
+    "id", "ask", "bedrooms", "numRooms", "title", "original_title", "source_id", "survey_id",
+    "post_date", "created_date", "updated_date", "update_lag", "month", "year",
+    "latitude", "longitude", "ct10_id", "muni_ID", "muni", "zip_code", "zip_muni", "comm_type",
+    "neighborhood_01", "neighborhood_02", "neighborhood_03",
+    *[n for r in ROOMS for n in (r, r + "_not_in_range")],
+    "periodblt", "roomrent", "sublet", "shortterm", "shared",
+    "fwd_geolocated", "latitude_original", "longitude_original", "latitude_merge",
+    "longitude_merge", "BASE_merge", "post_at", "created_at", "updated_at", "uniqueid",
+    "parloc_id", "luc_adj_1", "luc_adj_2", "yr_built", "camb_yr_built", "bos_yr_built",
+]
+LONG_ROOMS = ["five_bedroom", "six_bedroom"]
+ANNUAL_HEADER = [
+    "ask", "bedrooms", "numRooms", "title", "original_title", "source_id", "survey_id",
+    "post_date", "created_date", "updated_date", "update_lag", "month", "year", "quarter",
+    "latitude", "longitude", "ct10_id", "muni_ID", "muni", "zip_code", "zip_muni", "comm_type",
+    "neighborhood_01", "neighborhood_02", "neighborhood_03",
+    *[n for r in (*ROOMS, *LONG_ROOMS) for n in (r, r + "_not_in_range")],
+    "periodblt", "roomrent", "sublet", "shortterm", "shared",
+    "fwd_geolocated", "latitude_original", "longitude_original", "latitude_merge",
+    "longitude_merge", "BASE_merge", "post_at", "created_at", "updated_at", "uniqueid",
+    "parloc_id", "luc_adj_1", "luc_adj_2", "yr_built", "camb_yr_built", "bos_yr_built",
+]
+
+
 def test_units(inputs):
     units = build_units(inputs)
     rows = {r.id: r for r in units.collect()}
@@ -174,8 +212,29 @@ def test_units(inputs):
     assert (rows["12"].camb_yr_built, rows["12"].yr_built) == (2014, 2014)
     assert rows["10"].parloc_id == "P1" and rows["10"].longitude_original == -71.0
     assert rows["11"].zip_code is None and rows["11"].periodblt == "d_NA"
-    assert units.columns[:4] == ["id", "ask", "bedrooms", "numRooms"]
-    assert units.columns[-3:] == ["yr_built", "camb_yr_built", "bos_yr_built"]
+    assert units.columns == PERIOD_HEADER
+
+
+def test_overlay_columns_of_an_extract_are_replaced(inputs):
+    own = inputs.listings.withColumns({"parloc_id": F.lit("old"), "zip_code": F.lit("old")})
+    row = build_units(replace(inputs, listings=own)).where("id = '1'").first()
+    assert (row.parloc_id, row.zip_code) == ("P1", "02108")
+
+
+def test_blank_text_is_a_value(spark, inputs, tmp_path):
+    """A blank street in the suspect ZIP is another street, a blank town a group of its own."""
+    rows = [listing(40, ask=500, BASE_merge=""), listing(41, ask=500, BASE_merge="NA"),
+            listing(42, muni=""), listing(43, muni="NA"), listing(44, numRooms="", title="")]
+    path = write_rows(tmp_path / "blank.csv", HEADER, rows)
+    for blank, kept, towns in (("text", {"40", "42", "43"}, {"", None}),
+                               ("null", {"42", "43"}, {None})):
+        raw = read_listings(spark, path, blank=blank)
+        clean = clean_units(build_units(replace(inputs, listings=raw)))
+        out = {r.id: r for r in clean.collect()}
+        assert set(out) == kept and {out[i].muni for i in ("42", "43")} == towns
+        assert out["42"].neighborhood_01 == ("N1" if blank == "text" else None)
+        summary = summarize(clean, next(p for p in PERIOD_TABLES if p.name == "muni"))
+        assert {r.muni for r in summary.collect()} >= towns
 
 
 def test_swapped_axes(inputs):
@@ -234,10 +293,11 @@ def test_year_job_and_export(spark, inputs, files, tmp_path):
     units = annual_units(quarters)
     labels = {r[0]: r[1] for r in units.groupBy("quarter").count().collect()}
     assert labels == {"2021 Q1": 11, "2021 Q2": 4}
-    assert units.where("id = '1'").first().zip_code == "02108"
+    assert units.columns == ANNUAL_HEADER
+    assert units.where("uniqueid = 'u1'").first().zip_code == "02108"
     again = annual_units(quarters, inputs.parcels, inputs.zips)
-    assert again.where("id = '20'").first().zip_code == "02108"
-    assert again.where("id = '1'").first().parloc_id == "P1"
+    assert again.where("uniqueid = 'u20'").first().zip_code == "02108"
+    assert again.where("uniqueid = 'u1'").first().parloc_id == "P1"
     run_year(spark, quarters, out, "2021", inputs.parcels, inputs.zips)
     region, towns = f"{out}/period=2021", f"{out}/towns/period=2021"
     # Three unit and count tables, nine annual and ten quarterly summaries.
@@ -254,11 +314,11 @@ def test_year_job_and_export(spark, inputs, files, tmp_path):
     main(["export", f"{region}/product=clean_units", "--out", f"{out}/points",
           "--encoding", "UTF-8"])
     points = spark.read.parquet(f"{out}/points/format=parquet")
-    boston = points.where("town = 'BOSTON' and id = '1'").first()
+    boston = points.where("town = 'BOSTON' and uniqueid = 'u1'").first()
     assert (round(boston.x), round(boston.y), boston.srid) == (236247, 901149, 26986)
     lines = spark.read.text(f"{out}/points/format=geojson/town=CAMBRIDGE").collect()
     feature = json.loads(lines[0].value)
-    assert feature["type"] == "Feature" and feature["properties"]["id"] == "12"
+    assert feature["type"] == "Feature" and feature["properties"]["uniqueid"] == "u12"
     assert feature["geometry"]["coordinates"][0] == pytest.approx(231304, abs=1)
 
 
@@ -299,12 +359,62 @@ def test_layer_texts(spark, tmp_path):
     feature = ('{ "type": "Feature", "properties": { "objectid": 7, "postcode": "02139" },'
                ' "geometry": { "type": "Polygon", "coordinates":'
                ' [ [ [0, 0], [1, 0], [1, 1], [0, 0] ] ] } }')
-    path = tmp_path / "zips.geojson"
-    path.write_text('{\n"type": "FeatureCollection",\n"features": [\n' + feature + ",\n"
-                    + feature.replace("7", "8") + "\n]\n}\n")
-    rows = read_geojson(spark, str(path), {"postcode": "string"}).orderBy("poly_idx").collect()
-    assert [(r.poly_idx, r.postcode, len(r.rings[0])) for r in rows] == [
-        (7, "02139", 4), (8, "02139", 4)]
+    other = feature.replace("7", "8")
+    broken = feature.replace("7", "9").replace('"Polygon"', '"LineString"')
+    empty = '{"type":"Feature","properties":{"objectid":9},"geometry":null}'
+    head = '{"type": "FeatureCollection", "features": ['
+    layouts = {
+        "one line": f"{head}{feature}, {other}]}}",
+        "first line": f"{head}{feature},\n{other}\n]}}\n",
+        "indented": json.dumps(json.loads(f"{head}{feature}, {other}]}}"), indent=2),
+        "own lines": f"{head}\n{feature},\n{other}\n]}}\n",
+    }
+
+    def read(text, **options):
+        path = tmp_path / f"zips{len(os.listdir(tmp_path))}.geojson"
+        path.write_text(text)
+        rows = read_geojson(spark, str(path), {"postcode": "string"}, **options)
+        return [(r.poly_idx, r.postcode, [len(x) for x in r.rings])
+                for r in rows.orderBy("poly_idx").collect()]
+
+    both = [(7, "02139", [4]), (8, "02139", [4])]
+    for text in layouts.values():
+        assert read(text) == both
+    assert read(feature) == both[:1]
+    assert read(f"{feature}\n\n{other}\n", layout="lines") == both
+    assert read(f"{head}{feature}, {empty}]}}")[1] == (9, None, [])
+    for text, options in ((f"{head}{feature}, {broken}]}}", {}), (head + feature, {}),
+                          (layouts["own lines"], {"layout": "lines"}), ('{"type": "x"}', {})):
+        with pytest.raises(Exception, match="(?i)readable|feature|malformed"):
+            read(text, **options)
+
+
+def test_first_of_repeated_names(spark, tmp_path):
+    path = tmp_path / "again.csv"
+    path.write_text("id,x,X,id\n1,2,3,4\n")
+    assert read_csv(spark, str(path)).columns == ["id", "x", "X_2", "id_2"]
+    first = read_csv(spark, str(path), repeated="first")
+    assert first.columns == ["id", "x"] and values(first) == [("1", "2")]
+
+
+def test_values_that_do_not_fit_are_counted(spark, tmp_path):
+    rows = [listing(1, ask="1,000"), listing(2, Year="soon"), listing(3, ask="")]
+    raw = read_csv(spark, write_rows(tmp_path / "l.csv", HEADER, rows))
+    report = unreadable(raw, LISTING_NAMES, LISTING_TYPES)
+    assert sorted(values(report)) == [("ask", 1), ("year", 1)]
+
+
+def test_settings_and_staged_tables_do_not_outlive_a_job(spark, inputs, tmp_path):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before, shared = spark.conf.get(key, None), spark.conf.get("spark.checkpoint.dir")
+    run_period(spark, inputs, str(tmp_path / "out"), "2021-01")
+    assert spark.conf.get(key, None) == before
+    assert not [n for n in os.listdir(shared) if n.startswith("rentatlas-")]
+
+
+def test_starts_carry_their_town(spark, files):
+    row = read_starts(spark, files["starts"]).first()
+    assert (row.Muni, row.State) == ("Cambridge", "MA")
 
 
 def test_command_line_month(spark, files, tmp_path):
@@ -313,3 +423,24 @@ def test_command_line_month(spark, files, tmp_path):
           "--zips", files["zips"], "--starts", files["starts"], "--completions",
           files["completions"], "--match", "all", "--out", out])
     assert len(os.listdir(f"{out}/period=2021-01")) == 13
+
+
+def test_command_line_switches(spark, files, tmp_path):
+    args = parser().parse_args([
+        "month", "l.csv", "--parcels", "P", "--zips", "Z", "--starts", "S", "--completions", "C",
+        "--out", "O", "--swapped-axes", "--starts-swapped", "--starts-town", "Boston",
+        "--any-merged", "--match", "all", "--latest", "lexicographic", "--completions-dedupe",
+        "max_year", "--scam", "zip", "--no-multiline", "--encoding", "ISO-8859-1", "--blank", "null",
+        "--layer-format", "geojson-lines", "--completions-declared",
+    ])
+    assert rules_of(args) == Rules(
+        xy=("latitude", "longitude"), starts_xy=("latitude", "longitude"), starts_town="Boston",
+        parity=False, match="all", latest="lexicographic", completions_dedupe="max_year",
+        scam="zip",
+    )
+    assert (args.no_multiline, args.encoding, args.blank) == (True, "ISO-8859-1", "null")
+    wkt = tmp_path / "zips.csv"
+    wkt.write_text('objectid,postcode,pc_name,wkt\n1,02108,Boston,"POLYGON ((0 0, 1 0, 1 1, 0 0))"\n'
+                   "2,02109,Boston,POLYGON EMPTY\n")
+    layer = read_polygons(spark, str(wkt), ZIP_ATTRS, "wkt", "objectid").orderBy("poly_idx")
+    assert [(r.poly_idx, len(r.rings)) for r in layer.collect()] == [(1, 1), (2, 0)]

@@ -81,8 +81,32 @@ def test_partner_joins(spark):
 
 def test_null_keys_are_scattered(spark):
     df = spark.range(10000).select("id", F.lit(None).cast("string").alias("parloc_id"))
-    keys = df.select(year_built.scattered_key(df, "parloc_id").alias("k")).distinct().count()
-    assert keys > 1000
+    salts = df.select(year_built.key_salt(df, "parloc_id").alias("k")).distinct().count()
+    assert salts == 10000
+
+
+def test_any_text_is_a_key(spark):
+    df = spark.createDataFrame([(1, "\0k"), (2, ""), (3, None)], "id int, parloc_id string")
+    done = spark.createDataFrame([("\0k", 2016), ("", 2017), (None, 2018)],
+                                 "parloc_id string, bos_yr_built int")
+    joined = year_built.join_completions(df, done).select("id", "bos_yr_built")
+    assert sorted(values(joined)) == [(1, 2016), (2, 2017), (3, 0)]
+
+
+def test_hot_partner_parcel_is_no_full_outer_join(spark):
+    """Starts and completions that pile up on one parcel can be split too."""
+    starts = spark.range(60000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string"))
+        .alias("parloc_id"), F.lit(2012).alias("camb_yr_built"), F.col("id").alias("ord"),
+    )
+    done = spark.createDataFrame([("hot", 2016), ("x", 2017)],
+                                 "parloc_id string, bos_yr_built int")
+    df = spark.createDataFrame([(1, "x"), (2, "1"), (3, "hot")], "id int, parloc_id string")
+    joined = year_built.join_partner_years(df, starts, done)
+    assert "FullOuter" not in plan_text(joined)
+    counts = {r[0]: r[1:] for r in values(joined.groupBy("id").agg(
+        F.count(F.lit(1)), F.max("camb_yr_built"), F.max("bos_yr_built")))}
+    assert counts == {1: (1, 0, 2017), 2: (1, 2012, 0), 3: (20000, 2012, 2016)}
 
 
 def test_hot_parcel_is_split_by_the_adaptive_join(spark):

@@ -123,17 +123,74 @@ def test_left_filter_moves_below_the_join(spark, town, tmp_path):
 
 def test_points_without_coordinates_are_spread(spark, town):
     pts = spark.range(20000).select(
-        F.col("id"), F.lit(None).cast("double").alias("x"), F.lit(1.0).alias("y")
+        F.col("id"), F.when(F.col("id") < 0, 5.0).alias("x"), F.lit(1.0).alias("y")
     )
-    joined = spatial._join_cells(
-        pts.withColumnsRenamed({"x": "px", "y": "py"}),
-        spatial.grid_index(town, spatial.Grid(4.0), 0, ["name"]).withColumnsRenamed(
-            {"cx": "index_x", "cy": "index_y"}),
-        4.0, broadcast=False,
+    joined = spatial.attach_polygons(pts, town, ["name"], strategy="shuffle")
+    assert joined.count() == 20000 and joined.where("name is not null").count() == 0
+    assert "xxhash64" in plan_text(joined)
+
+
+def test_negative_zero_is_a_place(spark, town):
+    out = spatial.attach_polygons(points(spark, [(0, -0.0, 5.0), (1, 0.0, 5.0)]), town, ["name"])
+    assert {r.name for r in out.collect()} == {"square"}
+
+
+def test_oversized_index_is_not_forced(spark, town):
+    grid = spatial.Grid(1.0, 1, 1 << 40)
+    with pytest.raises(ValueError, match="not broadcast"):
+        spatial.attach_polygons(points(spark, POINTS), town, ["name"], grid=grid,
+                                strategy="broadcast")
+
+
+def test_unreadable_rings_fail_and_empty_ones_cover_nothing(spark, town):
+    missing = town.withColumn("rings", F.when(F.col("poly_idx") != 2, F.col("rings")))
+    with pytest.raises(Exception, match="polygon 2 has no readable rings"):
+        spatial.attach_polygons(points(spark, POINTS), missing, ["name"], strategy="shuffle",
+                                grid=spatial.Grid(4.0)).collect()
+    none = town.withColumn("rings", F.when(F.col("poly_idx") == 2, F.array().cast(RINGS_TYPE))
+                           .otherwise(F.col("rings")))
+    assert spatial.empty_polygons(none) == 1
+    out = spatial.attach_polygons(points(spark, POINTS), none, ["name"])
+    found = {r.id: r.name for r in out.select("id", "name").collect()}
+    assert found == {i: None if n == "tri" else n for i, n in ONE.items()}
+
+
+@pytest.mark.parametrize("match", ["last", "all"])
+def test_stacked_polygons_stay_rows(spark, match):
+    """20,000 nearly equal footprints on one spot: no task gathers them, a join can split them."""
+    base = spark.range(20000).select(
+        F.col("id").alias("poly_idx"), F.concat(F.lit("p"), F.col("id")).alias("name"),
+        (F.col("id") * 1e-6).alias("d"),
     )
-    assert joined.count() == 20000
-    plan = plan_text(joined)
-    assert "xxhash64" in plan
+    corners = [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
+    ring = ", ".join(f"struct(double({x}) - d as x, double({y}) as y)" for x, y in corners)
+    stacked = base.selectExpr("poly_idx", "name", f"array(array({ring})) as rings")
+    pts = points(spark, [(i, 5.0 + i % 4, 5.0) for i in range(12)] + [(99, 50.0, 5.0)])
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "50KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        index = spatial.index_polygons(stacked.repartition(8), ["name"], spatial.Grid(16.0))
+        out = spatial.attach_polygons(pts, index, ["name"], match=match, strategy="shuffle")
+        total = out.agg(F.count(F.lit(1)), F.count("name"), F.max("name"))
+        row = total.collect()[0]
+        if match == "last":
+            assert tuple(row) == (13, 12, "p19999")
+        else:
+            assert row[0] == 12 * 20000 + 1 and row[1] == 12 * 20000
+        plan = plan_text(total)
+        assert "collect_list" not in plan and "skew=true" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_large_layers_are_not_broadcast():
@@ -149,14 +206,11 @@ def test_index_stays_within_its_bound(spark):
     rng = random.Random(3)
     polygons = layer(spark, [(f"s{i}", [star(rng, i * 3, 0, 2 + i % 5, 30)]) for i in range(40)])
     grid = spatial.plan_grid(polygons)
-    rows = edges = 0
-    for tier in range(grid.tiers):
-        index = spatial.grid_index(polygons, grid, tier, ["name"]).select(
-            F.explode("candidates").alias("p"))
-        counted = index.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.size("p.edges"), F.lit(0))))
-        n, e = counted.first()
-        rows, edges = rows + n, edges + max(e, 0)
-    assert rows * spatial.CELL_BYTES + edges * spatial.EDGE_BYTES <= grid.index_bytes
+    index = spatial.grid_rows(polygons, grid, ["name"])
+    rows, edges = index.agg(
+        F.count(F.lit(1)), F.sum(F.coalesce(F.size("edges"), F.lit(0)))
+    ).first()
+    assert rows * spatial.CELL_BYTES + max(edges, 0) * spatial.EDGE_BYTES <= grid.index_bytes
 
 
 def test_attribute_names_must_be_free(spark, town):
@@ -212,10 +266,11 @@ def test_ring_texts(spark):
         "POLYGON((0 0,10 0,10 10,0 0),(1 1,2 1,2 2,1 1))",
         "MULTIPOLYGON (((0 0, 10 0, 10 10, 0 0)), ((20 0, 30 0, 30 10, 20 0), (21 1, 22 1, 22 2, 21 1)))",
         "POLYGON Z ((0 0 5, 10 0 5, 10 10 5, 0 0 5))",
+        "srid=26986; polygon (( 0 0 , 10 0 , 10 10 , 0 0 ) )",
     ]
     rows = values(spark.createDataFrame([(w,) for w in wkt], "w string").select(
         F.size(rings_from_wkt(F.col("w"))), rings_from_wkt(F.col("w"))[0][1]))
-    assert [r[0] for r in rows] == [1, 2, 3, 1]
+    assert [r[0] for r in rows] == [1, 2, 3, 1, 1]
     assert all(tuple(r[1]) == (10.0, 0.0) for r in rows)
     geo = [
         '{"type":"Polygon","coordinates":[[[0,0],[10,0],[10,10],[0,0]],[[1,1],[2,1],[2,2],[1,1]]]}',
@@ -225,3 +280,12 @@ def test_ring_texts(spark):
         F.size(rings_from_geojson(F.col("g"))), rings_from_geojson(F.col("g"))[0][1]))
     assert [r[0] for r in rows] == [2, 2]
     assert all(tuple(r[1]) == (10.0, 0.0) for r in rows)
+    odd = ["POLYGON EMPTY", "MULTIPOLYGON Z EMPTY", "POINT (1 2)", "POLYGON ((0 x, 1 1))", "", None]
+    rows = values(spark.createDataFrame([(w,) for w in odd], "w string").select(
+        rings_from_wkt(F.col("w"))))
+    assert rows == [([],), ([],), (None,), (None,), (None,), (None,)]
+    odd = ['{"type":"Polygon","coordinates":[]}', "null", None, '{"type":"Point","coordinates":[1,2]}',
+           '{"type":"Polygon","coordinates":[[[0,"x"]]]}', "{"]
+    rows = values(spark.createDataFrame([(g,) for g in odd], "g string").select(
+        rings_from_geojson(F.col("g"))))
+    assert rows == [([],), ([],), ([],), (None,), (None,), (None,)]

@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
-import math
+from workload import tables as views
 
-from rentatlas.functions import geometry, text
-from rentatlas.plans import catalogue
-from workload import views
-from workload.queries import PRODUCTS
+# Written out here from the published analysis, so that the check does not rest on the code it checks.
+ROOM_TITLES = (
+    " (ROOM RENT|ROOMMATE|ROOMIE) | ONE (BED)?ROOM IN (TWO|THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|NINE"
+    "|HOUSE|CONDO|APARTMENT) | (BED)?ROOM AVAILABLE IN (TWO|THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|NINE"
+    "|HOUSE|CONDO|APARTMENT) "
+)
+
+# Group keys of the tables, then whether there is a mean and which units they come from.
+PERIOD_KEYS = {
+    "full": "numRooms",
+    "muni": "muni numRooms",
+    "nhood": "neighborhood_01 muni numRooms",
+    "ct": "ct10_id muni numRooms",
+    "zip": "zip_code muni numRooms",
+    "full_age": "source_id numRooms periodblt",
+    "muni_age": "source_id muni numRooms periodblt",
+    "nhood_age": "source_id neighborhood_01 muni numRooms periodblt",
+    "ct_age": "source_id ct10_id numRooms periodblt",
+    "zip_age": "source_id zip_code numRooms periodblt",
+}
+ANNUAL_KEYS = {
+    "annual_full": "numRooms year",
+    "annual_muni": "muni numRooms year",
+    "annual_ct": "ct10_id numRooms year",
+    "annual_nhood": "neighborhood_01 muni numRooms year",
+    "annual_zip": "zip_code muni numRooms year",
+    "annual_full_age": "source_id numRooms year periodblt",
+    "annual_muni_age": "source_id muni ct10_id numRooms year periodblt",
+    "annual_nhood_age": "source_id neighborhood_01 muni numRooms year periodblt",
+    "annual_zip_age": "source_id zip_code muni numRooms year periodblt",
+}
+QUARTERLY_KEYS = {f"quarterly_{name}": f"{keys} quarter" for name, keys in PERIOD_KEYS.items()}
 
 
 def _columns(exprs: dict[str, str], names: list[str] | None = None) -> str:
@@ -17,15 +45,14 @@ def _columns(exprs: dict[str, str], names: list[str] | None = None) -> str:
 WITH = {
     "listings": f"SELECT {_columns(views.LISTING_COLUMNS)}"
     " FROM lineitem JOIN part ON l_partkey = p_partkey",
-    "starts": f"SELECT {_columns(views.STARTS_COLUMNS)} FROM orders WHERE {views.STARTS_WHERE}",
-    "completions": f"SELECT {_columns(views.COMPLETIONS_COLUMNS)} FROM orders"
-    f" WHERE {views.COMPLETIONS_WHERE}",
+    "starts": f"SELECT {_columns(views.STARTS_COLUMNS)} FROM orders",
+    "completions": f"SELECT {_columns(views.COMPLETIONS_COLUMNS)} FROM orders",
     "done": "SELECT parloc_id, cast(extract(year from try_strptime(complete_date, '%m/%d/%Y'))"
     " AS int) AS bos_yr_built FROM completions",
     "parcels": f"SELECT {_columns(views.PARCEL_COLUMNS)} FROM supplier",
     "zips": f"SELECT {_columns(views.ZIP_COLUMNS)} FROM supplier",
     "flagged": "SELECT *, date_diff('day', post_date, updated_date) AS lag_days,"
-    f" coalesce(regexp_matches(title, '{text.ROOM_PATTERN}'), false) AS roomrent,"
+    f" coalesce(regexp_matches(title, '{ROOM_TITLES}'), false) AS roomrent,"
     " coalesce(contains(title, ' SUBLET '), false) AS sublet,"
     " coalesce(contains(title, ' SHORT TERM '), false) AS shortterm,"
     " coalesce(contains(title, ' SHARED ') OR contains(title, ' SHARE '), false) AS shared"
@@ -99,10 +126,8 @@ def _stats(source: str, keys: tuple[str, ...], mean: bool = True, where: str = "
     )
 
 
-def _product(product: catalogue.Product) -> str:
-    source = "units" if product.source == "units" else "clean"
-    where = "WHERE fwd_geolocated" if product.source == "forward" else ""
-    return _with(_stats(source, product.keys, product.mean, where), source)
+def _table(keys: str, mean: bool = True, source: str = "clean", where: str = "") -> str:
+    return _with(_stats(source, tuple(keys.split()), mean, where), source)
 
 
 TYPES = {
@@ -110,30 +135,46 @@ TYPES = {
 }
 
 
-def _one_pass(products: list[catalogue.Product]) -> str:
-    dims = list(dict.fromkeys(k for p in products for k in p.keys))
+def _one_pass(products: dict[str, str]) -> str:
+    dims = list(dict.fromkeys(k for keys in products.values() for k in keys.split()))
 
-    def one(p: catalogue.Product) -> str:
+    def one(name: str, keys: tuple[str, ...]) -> str:
         cells = ", ".join(
-            d if d in p.keys else f"cast(NULL AS {TYPES.get(d, 'varchar')}) AS {d}" for d in dims
+            d if d in keys else f"cast(NULL AS {TYPES.get(d, 'varchar')}) AS {d}" for d in dims
         )
-        body = _stats("clean", p.keys)
-        return f"SELECT '{p.name}' AS product, {cells}, rentcount, meanrent, medrent FROM ({body})"
-
-    return _with(" UNION ALL ".join(one(p) for p in products), "clean")
+        body = _stats("clean", keys)
+        return f"SELECT '{name}' AS product, {cells}, rentcount, meanrent, medrent FROM ({body})"
+
+    parts = [one(name, tuple(keys.split())) for name, keys in products.items()]
+    return _with(" UNION ALL ".join(parts), "clean")
+
+
+# The projection from its published parameters, step by step.
+CONE_STEPS = (
+    "ell AS (SELECT 6378137.0::double AS a, sqrt(f * (2 - f)) AS e FROM (SELECT"
+    " 1 / 298.257222101::double AS f)),"
+    " par AS (SELECT a, e, radians(41.0::double) AS p0, radians(41.71666666666667::double) AS p1,"
+    " radians(42.68333333333333::double) AS p2 FROM ell),"
+    " mt AS (SELECT a, e, cos(p1) / sqrt(1 - pow(e * sin(p1), 2)) AS m1,"
+    " cos(p2) / sqrt(1 - pow(e * sin(p2), 2)) AS m2,"
+    " tan(pi() / 4 - p0 / 2) / pow((1 - e * sin(p0)) / (1 + e * sin(p0)), e / 2) AS t0,"
+    " tan(pi() / 4 - p1 / 2) / pow((1 - e * sin(p1)) / (1 + e * sin(p1)), e / 2) AS t1,"
+    " tan(pi() / 4 - p2 / 2) / pow((1 - e * sin(p2)) / (1 + e * sin(p2)), e / 2) AS t2 FROM par),"
+    " pw AS (SELECT *, (ln(m1) - ln(m2)) / (ln(t1) - ln(t2)) AS n FROM mt),"
+    " cone AS (SELECT e, n, a * m1 / (n * pow(t1, n)) AS s, a * m1 / (n * pow(t1, n)) * pow(t0, n)"
+    " AS r0 FROM pw)"
+)
 
 
-def _project(x: str, y: str) -> str:
+def _project(more: str = "") -> str:
     """Forward projection written out from the published closed form."""
-    c = geometry.CONE
-    lat, lon = "radians(latitude)", "radians(longitude - (-71.5))"
-    s = f"({c.e!r} * sin({lat}))"
-    t = f"(tan({math.pi / 4!r} - {lat} / 2) / pow((1 - {s}) / (1 + {s}), {c.e / 2!r}))"
-    rho = f"({c.scale!r} * pow({t}, {c.n!r}))"
+    lat, lon = "radians(latitude)", "radians(longitude + 71.5)"
+    t = f"(tan(pi() / 4 - {lat} / 2) / pow((1 - e * sin({lat})) / (1 + e * sin({lat})), e / 2))"
+    rho = f"(s * pow({t}, n))"
+    head = _with("", "listings").rstrip()
     return (
-        f"SELECT id, round(200000.0::double + {rho} * sin({c.n!r} * {lon}), 2) AS {x},"
-        f" round(750000.0::double + {c.rho_0!r} - {rho} * cos({c.n!r} * {lon}), 2) AS {y}"
-        " FROM listings"
+        f"{head}, {CONE_STEPS} SELECT id, round(200000 + {rho} * sin(n * {lon}), 2) AS x,"
+        f" round(750000 + r0 - {rho} * cos(n * {lon}), 2) AS y{more} FROM listings, cone"
     )
 
 
@@ -215,6 +256,18 @@ END_TO_END = (
     + _stats("kept", ("source_id", "muni", "zip_code", "numRooms", "periodblt"))
 )
 
+def _rings() -> str:
+    """Rings, points and coordinate sums of the parcel texts, from the boxes alone."""
+    return _with(
+        "SELECT poly_idx, cast(CASE poly_idx%7 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS int) AS"
+        " n_rings, cast(CASE poly_idx%7 WHEN 0 THEN 0 WHEN 1 THEN 9 ELSE 5 END AS int) AS n_points,"
+        " cast(CASE poly_idx%7 WHEN 0 THEN 0 ELSE 3*x0 + 2*x1 + CASE poly_idx%7 WHEN 1 THEN 4*x0+2"
+        " ELSE 0 END END AS double) AS sum_x, cast(CASE poly_idx%7 WHEN 0 THEN 0 ELSE 3*y0 + 2*y1"
+        " + CASE poly_idx%7 WHEN 1 THEN 4*y0+1 ELSE 0 END END AS double) AS sum_y FROM parcels",
+        "parcels",
+    )
+
+
 ORACLE: dict[str, str] = {
     "units_filter": _with(
         "SELECT id, ask, numRooms, source_id, muni, update_lag FROM units", "units"
@@ -306,7 +359,8 @@ ORACLE: dict[str, str] = {
         " SELECT parloc_id, NULL FROM starts",
         "completions", "starts",
     ),
-    "project_to_state_plane": _with(_project("x", "y"), "listings"),
+    "project_to_state_plane": _project(),
+    "unit_points": _project(", cast(26986 AS int) AS srid"),
     "project_and_back": _with(
         "SELECT id, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude"
         " FROM listings",
@@ -320,9 +374,54 @@ ORACLE: dict[str, str] = {
         "listings", "zips", IN_ZIP, "l.id, l.x, l.y", ["poly_idx", "postcode", "pc_name"]
     ),
     "pip_town_subset": PIP_TOWN,
-    **{name: _product(p) for name, p in PRODUCTS.items()},
-    "summaries_one_pass": _one_pass(catalogue.PERIOD_TABLES),
-    "annual_one_pass": _one_pass(catalogue.ANNUAL_PRODUCTS),
+    "counts": _table("year month source_id", mean=False),
+    "annual_counts": _table("year month source_id", mean=False, source="units"),
+    "annual_fwd": _table("numRooms year periodblt", where="WHERE fwd_geolocated"),
+    **{f"sum_{name}": _table(keys) for name, keys in PERIOD_KEYS.items()},
+    **{name: _table(keys) for name, keys in (ANNUAL_KEYS | QUARTERLY_KEYS).items()},
+    "summaries_one_pass": _one_pass(PERIOD_KEYS),
+    "annual_one_pass": _one_pass(ANNUAL_KEYS | QUARTERLY_KEYS),
+    "parcel_rings_wkt": _rings(),
+    "parcel_rings_geojson": _rings(),
+    "geojson_features": _with(
+        "SELECT muni AS town, '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":['"
+        " || cast(x AS varchar) || ',' || cast(y AS varchar) || ']},\"properties\":{\"id\":' || id ||"
+        " ',\"muni\":' || coalesce('\"' || muni || '\"', 'null') || '}}' AS value FROM listings",
+        "listings",
+    ),
+    "printable": _with(
+        "SELECT id, cast(ask AS varchar) AS ask, upper(cast(fwd_geolocated AS varchar)) AS"
+        " fwd_geolocated, cast(latitude AS varchar) AS latitude FROM listings",
+        "listings",
+    ),
+    "parse_starts": _with(
+        "SELECT camb_yr_built, ord, try_cast(replace(split_part(location, ',', 1), '(', '')"
+        " AS double) AS latitude, try_cast(replace(split_part(location, ',', 2), ')', '')"
+        " AS double) AS longitude, 'Cambridge' AS Muni, 'MA' AS State FROM (SELECT * REPLACE ("
+        " CASE WHEN ord%17=0 THEN NULL ELSE camb_yr_built END AS camb_yr_built,"
+        " CASE WHEN ord%13=0 AND ord%11<>0 THEN '' ELSE location END AS location) FROM starts)",
+        "starts",
+    ),
+    "conform_types": _with(
+        "SELECT cast(id AS varchar) AS id, CASE WHEN id%53<>0 THEN cast(ask AS double) END AS ask,"
+        " numRooms, CASE WHEN id%59<>0 THEN year END AS year, month, ct10_id, source_id, muni,"
+        " cast(NULL AS int) AS four_bedroom FROM listings",
+        "listings",
+    ),
+    "unreadable_values": _with(
+        "SELECT 'ask' AS \"column\", count(*) FILTER (id%53=0 AND ask IS NOT NULL) AS \"rows\" FROM"
+        " listings UNION ALL SELECT 'year', count(*) FILTER (id%59=0) FROM listings",
+        "listings",
+    ),
+    "clean_names": f"SELECT {views.COMPLETIONS_COLUMNS['parloc_id']} AS ward_parcel,"
+    f" {views.COMPLETIONS_COLUMNS['complete_date']} AS complete_date, o_orderkey AS permit_number,"
+    " o_orderkey%7 AS complete_date_2 FROM orders",
+    "first_of_repeated": _with("SELECT id, muni, numRooms FROM listings", "listings"),
+    "ordered_by_keys": _with(
+        "SELECT muni, numRooms, cast(row_number() OVER (ORDER BY muni NULLS LAST, numRooms NULLS"
+        " LAST) AS int) AS place FROM clean GROUP BY muni, numRooms",
+        "clean",
+    ),
     "town_partition": _with(
         "SELECT * FROM (" + _stats("clean", ("muni", "numRooms")) + ") WHERE muni IN ('BOSTON',"
         " 'CAMBRIDGE', 'QUINCY', 'SOMERVILLE', 'ARLINGTON')",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rentatlas.functions import dates, recode, text
@@ -12,6 +12,10 @@ from rentatlas.functions.geometry import to_degrees
 from rentatlas.functions.numbers import na_max
 from rentatlas.operators import classify, columns, normalize, spatial, summarize, year_built
 from rentatlas.plans import catalogue
+from rentatlas.sinks import csv, points
+from rentatlas.sources import csv as source_csv
+from rentatlas.sources import schema
+from rentatlas.sources.polygons import readable, rings_from_geojson, rings_from_wkt
 from workload import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,6 +259,109 @@ def period_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _rings(kind: str) -> Query:
+    read = rings_from_wkt if kind == "wkt" else rings_from_geojson
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        texts = views.parcel_texts(spark, sf_dir, kind)
+        rings = readable(read(F.col("text")), F.col("poly_idx"))
+        flat = texts.select("poly_idx", rings.alias("rings")).withColumn("p", F.flatten("rings"))
+
+        def total(axis: str) -> Column:
+            return F.aggregate("p", F.lit(0.0), lambda t, p: t + p[axis])
+
+        return flat.select(
+            "poly_idx", F.size("rings").alias("n_rings"), F.size("p").alias("n_points"),
+            total("x").alias("sum_x"), total("y").alias("sum_y"),
+        )
+
+    return query
+
+
+def unit_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = views.listings(spark, sf_dir, ["id", "longitude", "latitude"])
+    return points.unit_points(df).select(
+        "id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), "srid"
+    )
+
+
+def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = views.listings(spark, sf_dir, ["id", "muni", "x", "y"])
+    return points.geojson_features(df.withColumn("srid", F.lit(26986)))
+
+
+def printable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = views.listings(spark, sf_dir, ["id", "ask", "fwd_geolocated", "latitude"])
+    return csv.printable(df.withColumn("ask", F.col("ask").cast("double"))).withColumn(
+        "latitude", F.col("latitude").cast("string")
+    )
+
+
+def parse_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = views.starts(spark, sf_dir).select(
+        F.when(F.col("ord") % 17 == 0, "soon").otherwise(F.col("camb_yr_built").cast("string"))
+        .alias("Year Permitted"),
+        F.col("ord").cast("string").alias("Order"), F.col("location").alias("Location"),
+    )
+    return source_csv.parse_starts(raw)
+
+
+def _raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings as an extract holds them: text, other names, some values that do not fit."""
+    df = views.listings(spark, sf_dir).drop("eight_bedroom")
+    bad = {"ask": (53, "1,000"), "year": (59, "soon")}
+    texts = []
+    for name in ("id", *schema.REQUIRED_LISTING_COLUMNS):
+        text = F.col(name).cast("string")
+        if name in bad:
+            every, wrong = bad[name]
+            unfit = (F.col("id") % every == 0) & text.isNotNull()
+            text = F.when(unfit, wrong).otherwise(text)
+        texts.append(text.alias({"year": "Year", "month": "Month"}.get(name, name)))
+    return df.select(*texts)
+
+
+def conform_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema.conform_listings(_raw_listings(spark, sf_dir)).select(
+        "id", "ask", "numRooms", "year", "month", "ct10_id", "source_id", "muni", "four_bedroom"
+    )
+
+
+def unreadable_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema.unreadable(
+        _raw_listings(spark, sf_dir), schema.LISTING_NAMES, schema.LISTING_TYPES
+    )
+
+
+def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = views.table(spark, sf_dir, "orders")
+    exprs = {**views.COMPLETIONS_COLUMNS, "ord": "o_orderkey", "again": "o_orderkey%7"}
+    raw = views.derive(orders, exprs).toDF(
+        "Ward & Parcel", "Complete Date", "Permit #", "complete.date"
+    )
+    return columns.clean_names(raw)
+
+
+def first_of_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = views.listings(spark, sf_dir, ["id", "muni", "numRooms"])
+    wide = df.select(F.lit(1), "id", "muni", F.lit("other"), "numRooms", F.lit(0)).toDF(
+        "X", "id", "muni", "muni", "numRooms", "ID"
+    )
+    return columns.first_of_repeated(columns.drop_index_column(wide))
+
+
+def ordered_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place each row of a published table has in its output."""
+    keys = ["muni", "numRooms"]
+    groups = clean(spark, sf_dir).select(*keys).distinct()
+    placed = summarize.sorted_by_keys(groups, keys).withColumn(
+        "seen", F.monotonically_increasing_id()
+    )
+    return placed.select(
+        *keys, F.row_number().over(Window.orderBy("seen")).alias("place")
+    )
+
+
 PRODUCTS: dict[str, catalogue.Product] = {
     "counts": catalogue.COUNTS,
     **{f"sum_{p.name}": p for p in catalogue.PERIOD_TABLES},
@@ -303,6 +410,17 @@ QUERIES: dict[str, Query] = {
     "pip_zip": pip_zip,
     "pip_town_subset": pip_town_subset,
     **{name: _product(p) for name, p in PRODUCTS.items()},
+    "parcel_rings_wkt": _rings("wkt"),
+    "parcel_rings_geojson": _rings("geojson"),
+    "unit_points": unit_points,
+    "geojson_features": geojson_features,
+    "printable": printable,
+    "parse_starts": parse_starts,
+    "conform_types": conform_types,
+    "unreadable_values": unreadable_values,
+    "clean_names": clean_names,
+    "first_of_repeated": first_of_repeated,
+    "ordered_by_keys": ordered_by_keys,
     "summaries_one_pass": summaries_one_pass,
     "annual_one_pass": annual_one_pass,
     "town_partition": town_partition,

@@ -6,100 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentatlas.functions.geometry import RINGS_TYPE
-
-# One expression per column, valid in Spark and in the checking engine alike.
-LISTING_COLUMNS = {
-    "id": "l_orderkey*10 + l_linenumber",
-    "ask": "case when l_partkey%97=0 and l_linenumber=7 then null"
-    " else cast(floor(l_extendedprice/25) as int) end",
-    "numRooms": "l_linenumber - 2",
-    "source_id": "cast(1 + l_suppkey%2 as int)",
-    "muni": "case l_partkey%6 when 0 then 'BOSTON' when 1 then 'CAMBRIDGE' when 2 then 'QUINCY'"
-    " when 3 then 'SOMERVILLE' when 4 then 'ARLINGTON' end",
-    "neighborhood_01": "concat('N', cast(l_suppkey%7 as varchar(10)))",
-    "ct10_id": "25017000000 + l_partkey%50",
-    "zip_code": "case when l_partkey%11=0 then null when l_partkey%11<3 then '02108'"
-    " else concat('0213', cast(l_partkey%10 as varchar(10))) end",
-    "BASE_merge": "case l_suppkey%5 when 0 then 'Acorn' when 1 then 'Willow' when 2 then null"
-    " else 'Main' end",
-    "post_date": "cast(l_shipdate as date)",
-    "updated_date": "cast(l_shipdate as date) + cast(l_quantity as int)",
-    "year": "cast(extract(year from l_shipdate) as int)",
-    "month": "cast(extract(month from l_shipdate) as int)",
-    "title": "case when l_partkey%101=0 then null else concat(' ', upper(p_name), ' ',"
-    " case cast(l_quantity as int)%13 when 0 then 'SUBLET' when 1 then 'ROOMMATE'"
-    " when 2 then 'SHORT TERM' when 3 then 'SHARE' when 4 then 'ONE BEDROOM IN THREE'"
-    " else 'APARTMENT' end, ' ') end",
-    "x": "cast((l_partkey%400)*10 as double)",
-    "y": "cast(floor(l_suppkey/20)*100 + l_orderkey%100 as double)",
-    "parloc_id": "case when l_partkey%17=0 then null"
-    " else concat('P', cast(l_partkey as varchar(20))) end",
-    "yr_built": "case l_partkey%4 when 0 then null when 1 then 1990 when 2 then 2011"
-    " else 2015 end",
-    "longitude": "-71.2 + cast(l_partkey%400 as double)*cast(0.001 as double)",
-    "latitude": "42.2 + cast(l_suppkey%100 as double)*cast(0.002 as double)",
-    "longitude_merge": "case when l_orderkey%3=0 then null when l_orderkey%3=1"
-    " then cast(-71.05 as double) - cast(l_partkey%10 as double)*cast(0.01 as double)"
-    " else cast(0 as double) end",
-    "latitude_merge": "case when l_orderkey%3=0 then null when l_orderkey%3=1"
-    " then cast(42.35 as double) else cast(0 as double) end",
-    "fwd_geolocated": "case l_suppkey%4 when 0 then null when 1 then false else true end",
-    "eight_bedroom": "cast(l_quantity as int)%2",
-    "rooms8": "case when l_linenumber=7 then null when l_linenumber>4 then 8"
-    " else l_linenumber end",
-}
-
-STARTS_COLUMNS = {
-    "parloc_id": "case when o_custkey%13=0 then null"
-    " else concat('P', cast(o_custkey as varchar(20))) end",
-    "camb_yr_built": "cast(extract(year from o_orderdate) as int)",
-    "ord": "o_orderkey",
-    "location": "case when o_orderkey%11=0 then 'unknown' else concat('(',"
-    " cast(o_orderkey%90 as varchar(10)), '.25, -', cast(o_custkey%180 as varchar(10)),"
-    " '.5)') end",
-    "x": "cast((o_custkey%400)*10 as double)",
-    "y": "cast(floor(o_orderkey/30) as double)",
-}
-
-COMPLETIONS_COLUMNS = {
-    "parloc_id": "concat('P', cast(o_custkey as varchar(20)))",
-    "complete_date": "case when o_orderkey%9=0 then 'n/a' else concat("
-    "cast(extract(month from o_orderdate) as varchar(10)), '/',"
-    " cast(extract(day from o_orderdate) as varchar(10)), '/',"
-    " cast(extract(year from o_orderdate) as varchar(10))) end",
-}
-
-# Open orders stand for housing starts, finished ones for completions.
-STARTS_WHERE = "o_orderstatus = 'O'"
-COMPLETIONS_WHERE = "o_orderstatus = 'F'"
-
-PARCEL_COLUMNS = {
-    "poly_idx": "s_suppkey",
-    "parloc_id": "concat('P', cast(s_suppkey as varchar(20)))",
-    "town": "case s_nationkey%3 when 0 then 'Cambridge' when 1 then 'Boston' else 'Quincy' end",
-    "yr_built": "case s_suppkey%5 when 0 then null when 1 then 'n/a'"
-    " else cast(1960 + s_suppkey%60 as varchar(10)) end",
-    "x0": "(s_suppkey%20)*200",
-    "x1": "(s_suppkey%20)*200 + 220",
-    "y0": "cast(floor(s_suppkey/20)*100 as bigint)",
-    "y1": "cast(floor(s_suppkey/20)*100 + 110 as bigint)",
-}
-
-ZIP_COLUMNS = {
-    "poly_idx": "s_suppkey",
-    "postcode": "case when s_suppkey%11<3 then '02108'"
-    " else concat('0213', cast(s_suppkey%10 as varchar(10))) end",
-    "pc_name": "s_name",
-    "x0": "(s_suppkey%20)*200",
-    "y0": "cast(floor(s_suppkey/20)*100 as bigint)",
-}
-
+from workload.tables import (
+    COMPLETIONS_COLUMNS,
+    LISTING_COLUMNS,
+    PARCEL_COLUMNS,
+    STARTS_COLUMNS,
+    ZIP_COLUMNS,
+    parcel_text,
+)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _derive(df: DataFrame, columns: dict[str, str], names: list[str] | None) -> DataFrame:
+def derive(
+    df: DataFrame, columns: dict[str, str], names: list[str] | None = None
+) -> DataFrame:
     return df.selectExpr(*[f"{columns[n]} as {n}" for n in names or columns])
 
 
@@ -108,16 +30,15 @@ def listings(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -
     lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return _derive(joined, LISTING_COLUMNS, names)
+    return derive(joined, LISTING_COLUMNS, names)
 
 
 def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(table(spark, sf_dir, "orders").where(STARTS_WHERE), STARTS_COLUMNS, None)
+    return derive(table(spark, sf_dir, "orders"), STARTS_COLUMNS)
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where(COMPLETIONS_WHERE)
-    return _derive(orders, COMPLETIONS_COLUMNS, None)
+    return derive(table(spark, sf_dir, "orders"), COMPLETIONS_COLUMNS)
 
 
 def _ring(*corners: tuple[str, str]) -> str:
@@ -125,9 +46,18 @@ def _ring(*corners: tuple[str, str]) -> str:
     return f"array({points})"
 
 
+def parcel_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(table(spark, sf_dir, "supplier"), PARCEL_COLUMNS)
+
+
+def parcel_texts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Every parcel box as well-known text (``wkt``) or as a GeoJSON geometry (``geojson``)."""
+    return parcel_boxes(spark, sf_dir).selectExpr("poly_idx", f"{parcel_text(kind)} as text")
+
+
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping rectangles, every third one cut to its lower-left triangle."""
-    boxes = _derive(table(spark, sf_dir, "supplier"), PARCEL_COLUMNS, None)
+    boxes = parcel_boxes(spark, sf_dir)
     box = _ring(("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))
     triangle = _ring(("x0", "y0"), ("x1", "y0"), ("x0", "y1"), ("x0", "y0"))
     rings = f"array(if(poly_idx%3=0, {triangle}, {box}))"
@@ -138,7 +68,7 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zip_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tessellation of rectangles that share their edges, each with a hole."""
-    boxes = _derive(table(spark, sf_dir, "supplier"), ZIP_COLUMNS, None)
+    boxes = derive(table(spark, sf_dir, "supplier"), ZIP_COLUMNS)
     outer = _ring(
         ("x0", "y0"), ("x0+200", "y0"), ("x0+200", "y0+100"), ("x0", "y0+100"), ("x0", "y0")
     )
