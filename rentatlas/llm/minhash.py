@@ -487,7 +487,8 @@ def link_texts(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             "component", F.least("part", "other"), F.greatest("part", "other")
         ).alias("group"))
     )
-    rows = texts.join(placed, ["id", "row"])
+    # The ids grow with the corpus, so they are not broadcast at any size.
+    rows = texts.join(placed.hint("merge"), ["id", "row"])
     return stage(compare_groups(rows, weights, least).where("a <> b").distinct(), "links")
 
 
