@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from rentatlas.llm.common import text_of
 
-#: A text without any of these stems holds no known sentence and is not cut at all.
+#: A text or sentence without any of these holds no known sentence and is not looked at further.
 STEMS = (
-    "(?i)licen[cs]|copyright|permission|warrant|redistribut|public domain|creative commons|spdx"
+    "(?i)licen[cs]|copyright|permission|redistribut|public domain|creative commons|spdx|cc.?by|cc0"
+    "|software is provided|all rights|any later version|neither the name of"
 )
 SENTENCE_END = r"[.!?;:]+[ \t\r]+|[\r\n]+"
 
@@ -104,12 +105,11 @@ def sentence_name(sentence: Column) -> Column:
 def known_sentences(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in their order."""
     found = F.transform(
-        F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(STEMS) | s.rlike("(?i)cc.?by|cc0")),
+        F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(STEMS)),
         lambda s: sentence_name(normalised(s)),
     )
     none = F.array().cast("array<string>")
-    worth = text.rlike(STEMS + "|cc.?by|cc0|software is provided|all rights|any later version")
-    return F.when(worth, F.filter(found, lambda n: n.isNotNull())).otherwise(none)
+    return F.when(text.rlike(STEMS), F.filter(found, lambda n: n.isNotNull())).otherwise(none)
 
 
 def licences_of(names: Column) -> Column:
@@ -160,8 +160,7 @@ def oracle_sql() -> str:
     cases = " ".join(
         f"WHEN regexp_matches(s, {_quoted(p)}) THEN {_quoted(n)}" for n, p in SENTENCES
     )
-    worth = f"regexp_matches(s, {_quoted(STEMS)}) OR regexp_matches(s, '(?i)cc.?by|cc0')"
-    whole = _quoted(STEMS + "|cc.?by|cc0|software is provided|all rights|any later version")
+    worth = _quoted(STEMS)
     level = (
         "SELECT doc_id, n, names, ';' || coalesce(names, '') || ';' AS rest, '' AS got FROM named"
     )
@@ -180,9 +179,9 @@ def oracle_sql() -> str:
         "WITH docs AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text"
         " FROM documents), cut AS (SELECT rn, unnest(parts) AS s, generate_subscripts(parts, 1) AS"
         f" i FROM (SELECT rn, string_split_regex(text, '{SENTENCE_END}') AS parts FROM docs WHERE"
-        f" regexp_matches(text, {whole}))),"
+        f" regexp_matches(text, {worth}))),"
         " plain AS (SELECT rn, i, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s"
-        f" FROM cut WHERE {worth}), hits AS (SELECT rn, i, CASE {cases} END AS name FROM plain),"
+        f" FROM cut WHERE regexp_matches(s, {worth})), hits AS (SELECT rn, i, CASE {cases} END AS name FROM plain),"
         " lists AS (SELECT rn, string_agg(name, ';' ORDER BY i) AS names, count(name) AS n FROM"
         " hits GROUP BY rn), named AS (SELECT d.doc_id, names, coalesce(n, 0) AS n FROM docs d"
         " LEFT JOIN lists l ON d.rn = l.rn) SELECT doc_id, cast(n AS int) AS n_sentences,"

@@ -36,7 +36,6 @@ from rentatlas.llm.common import stage
 from rentatlas.session import shared_dir
 
 CHUNK = 1 << 18
-#: Text a writing task aims for; more pages make more files.
 VERSION = b"WARC/1.1"
 HEADER_END = b"\r\n\r\n"
 EPOCH = dt.datetime(2000, 1, 1, tzinfo=dt.timezone.utc)
@@ -188,7 +187,7 @@ def write_archives(
             for page_id, url, payload, keeper in zip(*columns, strict=True):
                 if out is None:
                     store.create_dir(folder, recursive=True)
-                    out = store.open_output_stream(name)
+                    out = store.open_output_stream(name, compression=None)
                 page_id, keeper = page_id.as_py(), keeper.as_py()
                 revisit = keeper is not None and keeper != page_id
                 member = gzip_member(
@@ -223,7 +222,7 @@ def read_archives(files: DataFrame, uri: str = "file:///", payloads: bool = True
 
     def rows(file: str) -> Iterator[tuple]:
         store, _ = fs.FileSystem.from_uri(uri)
-        with store.open_input_stream(file) as raw:
+        with store.open_input_stream(file, compression=None) as raw:
             for record in records(raw):
                 h = record.headers
                 yield (

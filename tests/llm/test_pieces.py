@@ -75,17 +75,18 @@ def test_unigram_models_are_rebuilt_from_their_scores(tmp_path):
 
 def test_query_columns(spark, documents):
     original = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    out = pieces.encode_documents(documents(ODD_TEXTS, clash=True), with_ids=True).collect()
+    rows = [*ODD_TEXTS, (60, "rare 𓀀 signs 𒀀")]
+    out = pieces.encode_documents(documents(rows, clash=True), with_ids=True).collect()
     expected = {}
-    for i, text in ODD_TEXTS:
+    for i, text in rows:
         ids = original.encode(text or "")
         expected.setdefault(i, []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()),
                                            ids))
     for r in out:
         assert (r.n_ids, r.ids_crc32, r.ids) in expected[r.doc_id]
         assert r.round_trip and r.n_unknown == 0
-    assert len(out) == len(ODD_TEXTS)
-    assert next(r for r in out if r.doc_id == 6).n_byte_ids > 0
+    assert len(out) == len(rows)
+    assert next(r for r in out if r.doc_id == 60).n_byte_ids == 8
     assert pieces.encode_documents(documents([])).collect() == []
 
 
