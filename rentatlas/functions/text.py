@@ -47,9 +47,13 @@ def is_shared(title: Column) -> Column:
 
 
 def location_part(location: Column, index: int) -> Column:
-    """Number ``index`` of a ``"(first, second)"`` text; NULL when absent or not a number."""
+    """Number ``index`` of a ``"(first, second)"`` text; NULL when absent or not a number.
+
+    The first number loses the opening bracket only and the second the closing one, so a text that
+    lacks its second part has no first number either.
+    """
     part = F.get(F.split(location, ",", -1), F.lit(index))
-    return F.trim(F.regexp_replace(part, "[()]", "")).try_cast("double")
+    return F.trim(F.replace(part, F.lit(")" if index else "("), F.lit(""))).try_cast("double")
 
 
 def drop_header_dots(name: str) -> str:

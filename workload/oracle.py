@@ -183,7 +183,8 @@ def _override(parity: bool) -> str:
         merged = f"coalesce({axis}_merge, 0)"
         test = f"{merged} < 0" if parity else f"{merged} <> 0"
         return (
-            f"CASE WHEN {test} AND source_id = 2 THEN {merged} ELSE {axis} END AS {axis},"
+            f"CASE WHEN {test} AND source_id = 2 THEN {merged} WHEN {test} AND source_id IS NULL"
+            f" THEN NULL ELSE {axis} END AS {axis},"
             f" {axis} AS {axis}_original, cast({merged} AS double) AS {axis}_merge"
         )
 
