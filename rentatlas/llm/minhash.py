@@ -41,11 +41,11 @@ BANDS = 10
 ROWS = 3
 RARE = 1e-3
 #: Shingles a task holds while it looks for frequent ones, and variates each hash draws from.
-COUNT_AT_ONCE = 6_000_000
+COUNT_AT_ONCE = 3_000_000
 POOL_BITS = 17
 #: Text and texts that one block of a comparison holds.
-BLOCK_TEXT = 6_000_000
-BLOCK_DOCS = 2_000
+BLOCK_TEXT = 4_000_000
+BLOCK_DOCS = 1_000
 
 U = np.uint64
 M1, M2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
@@ -106,7 +106,7 @@ def shingled(texts: pa.Array) -> Shingled:
 
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in blocks(batches):
+    for batch in blocks(batches, limit=2_000_000):
         for at in range(0, batch.num_rows, 1 << 15):
             yield batch.slice(at, 1 << 15)
 

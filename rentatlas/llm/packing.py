@@ -26,7 +26,7 @@ CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Parts and words that a worker remembers in each of two generations.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 80_000
 #: Salts that one length is spread over while its pieces are numbered.
 SALTS = 32
 

@@ -32,7 +32,7 @@ from rentatlas.llm.packing import Generations
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words that a worker remembers in each of two generations.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 120_000
 
 # Field numbers and codes of the published model format.
 UNIGRAM, PAIRS = 1, 2

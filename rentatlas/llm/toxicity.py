@@ -38,7 +38,7 @@ RANK = 8
 EPOCHS = 30
 WORD = re.compile(r"\w+")
 #: Words a worker remembers the terms of.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 
 def word_terms(word: str) -> tuple[int, ...]:
