@@ -33,9 +33,29 @@ EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 DIGIT_RUN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(
-    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-)
+IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+IBAN_ANY = r"(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+# Characters of an account number by country, from the IBAN registry. What stands behind that many
+# belongs to the text that follows; for other codes as much as the pattern takes counts.
+IBAN_LENGTH = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+IBAN_REST = {
+    length: re.compile(
+        rf"(?: ?[A-Z0-9]{{4}}){{{length // 4 - 1}}}"
+        + (rf" ?[A-Z0-9]{{{length % 4}}}" if length % 4 else "")
+        + "(?![A-Za-z0-9])"
+    )
+    for length in set(IBAN_LENGTH.values())
+} | {None: re.compile(IBAN_ANY)}
 NATIONAL_ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 #: Characters on either side of a span in which context words count.
@@ -116,6 +136,18 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
+def accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers of their country's length; the search goes on behind each start that fails."""
+    end = 0
+    for m in IBAN_START.finditer(text):
+        if m.start() < end:
+            continue
+        rest = IBAN_REST[IBAN_LENGTH.get(m.group()[:2])].match(text, m.end())
+        if rest and mod97(text[m.start() : rest.end()].replace(" ", "")):
+            end = rest.end()
+            yield m.start(), end
+
+
 def context_score(text: str, kind: str, start: int, end: int) -> float:
     """The kind's own score plus a step for each distinct context word nearby, at most 1."""
     near = f"{text[max(0, start - CONTEXT_CHARS):start]} {text[end:end + CONTEXT_CHARS]}".lower()
@@ -135,9 +167,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
         (base if len(digits) >= 16 else extra).append(("card", start, end))
     if "+" in text:
         base += [("phone", *s) for s in phones(text)]
-    extra += [
-        ("iban", *m.span()) for m in IBAN.finditer(text) if mod97(m.group().replace(" ", ""))
-    ]
+    extra += [("iban", *s) for s in accounts(text)]
     if "-" in text:
         extra += [("national_id", *m.span()) for m in NATIONAL_ID.finditer(text)]
 

@@ -98,3 +98,21 @@ def test_masking(spark, documents):
     masked = "to <EMAIL> or <PHONE>."
     assert got == sorted([(1, masked, len(masked)), (2, None, None), (3, "", 0), (4, "clean", 5),
                           (4, "clean", 5)], key=str)
+
+
+@pytest.mark.parametrize("text,found", [
+    ("ES9121000418450200051332 BIC CAIXESBB", ["ES9121000418450200051332"]),
+    ("AT611904300234573201 EUR 50", ["AT611904300234573201"]),
+    ("PL61 1090 1014 0000 0712 1981 2874 VAT 23", ["PL61 1090 1014 0000 0712 1981 2874"]),
+    ("NO93 8601 1117 947 OSLO", ["NO93 8601 1117 947"]),
+    ("AT611904300234573201 ES9121000418450200051332", ["AT611904300234573201",
+                                                       "ES9121000418450200051332"]),
+    ("NR12 ABCD EFGH ES9121000418450200051332.", ["ES9121000418450200051332"]),
+    ("AT611904300234573202 EUR 50", []),
+    ("ES9121000418450200051332BIC", []),
+])
+def test_account_numbers_end_where_their_country_says(text, found):
+    base, added = pii.find(text)
+    assert [text[s.start:s.end] for s in added if s.kind == "iban"] == found
+    hidden = pii.masked(text, base + added)
+    assert not any(f in hidden for f in found) and hidden.count("<IBAN>") == len(found)
