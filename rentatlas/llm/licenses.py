@@ -1,8 +1,12 @@
 """Licence scans by sentence rules.
 
-Texts are cut into sentences, each sentence is normalised and mapped to the identifier of a known
-licence sentence, and the sequence of identifiers of a text is matched against licence rules in
-order; what a rule has matched is used up. All of it is one projection of built-in functions.
+Texts are cut into sentences, at blank lines and sentence ends; wrapped lines belong together. Each
+sentence is normalised and yields the identifiers of all known licence sentences it holds, from left
+to right, and the sequence of identifiers of a text is matched against licence rules in order; what
+a rule has matched is used up. All of it is one projection of built-in functions.
+
+The checking SQL cuts at every line break and colon and names one licence sentence per piece, so it
+agrees on notices of one line only; the wrapped licence texts are held by the tests.
 
 Defined results: a missing text has no sentences; repeated rows repeat their result; an empty table
 yields no rows; texts of any length are read whole; further columns are ignored.
@@ -60,6 +64,40 @@ SENTENCES = [
     ("Copyright", "^copyright (c )?[0-9]{4}"),
 ]
 
+# A sentence ends at a blank line, be it in a comment, and behind its mark; not behind an initial or
+# a short form such as "v." or "Inc.", nor where the text goes on with a small letter.
+SENTENCE_CUT = (
+    r"(?<!\b(?i:[a-z]|inc|ltd|llc|corp|co|ver|vers))[.!?]+(?=\s)(?![\s*#/;%|-]*[a-z])"
+    r"|(?:\r\n|\r(?!\n)|\n)[ \t*#/;%|-]*(?=[\r\n])"
+)
+# Places within a sentence that end a line or a clause: phrases run over them, "^" and "$" hold there.
+SOFT_END = r"[.!?;:]+[ \t\r]+|[\r\n]+"
+# The stems as they look across wrapped lines and comment marks.
+WRAPPED_STEMS = (
+    r"(?i)licen[cs]|copyright|permission|redistribut|public\W+domain|creative\W+commons|spdx"
+    r"|cc\W{0,8}by|cc0|software\W+is\W+provided|all\W+rights|any\W+later\W+version"
+    r"|neither\W+the\W+name\W+of"
+)
+
+# Wordings of the published texts beside the one-line forms of ``SENTENCES``.
+_FSF = "( as published by the free software foundation)?( either)? version"
+PUBLISHED = {
+    "ApacheNotice-2.0":
+        "licensed under the apache license version 2 0|apache license version 2 0 january 2004",
+    "AsIs": "software is provided( by .*?)? as is",
+    "LGPLNotice-3.0": f"gnu lesser general public license{_FSF} 3",
+    "LGPLNotice-2.1": f"gnu lesser general public license{_FSF} 2 1",
+    "AGPLNotice-3.0": f"gnu affero general public license{_FSF} 3",
+    "GPLNotice-3.0": f"gnu general public license{_FSF} 3|version 3 of the gnu general public license",
+    "GPLNotice-2.0": f"gnu general public license{_FSF} 2|version 2 of the gnu general public license",
+    "BSDName": "neither the name of .*? may be used to endorse",
+}
+# The patterns over lines: a space stands for a space or a line end.
+PHRASES = [
+    (name, PUBLISHED.get(name, pattern).replace(" ", "\\s")) for name, pattern in SENTENCES
+]
+ANY_PHRASE = "(?ms)" + "|".join(f"(?:{pattern})" for _, pattern in PHRASES)
+
 # Licence rules in the order they are tried: licence and the identifiers that prove it, in order.
 RULES = [
     ("Apache-2.0", ";ApacheNotice-2\\.0;(ApacheCopy;)?(ApacheLimits;)?"),
@@ -90,26 +128,31 @@ RULES = [
 
 
 def normalised(sentence: Column) -> Column:
-    """Lower-case letters and digits in words one space apart."""
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+    """Lower-case letters and digits in words one space, or one line end, apart."""
+    lines = F.regexp_replace(F.lower(sentence), SOFT_END, "\n")
+    words = F.regexp_replace(lines, "[^a-z0-9\n]+", " ")
+    return F.trim(F.regexp_replace(words, " ?\n[ \n]*", "\n"))
 
 
-def sentence_name(sentence: Column) -> Column:
-    """Identifier of a normalised sentence; NULL for sentences that are not known."""
+def phrase_name(phrase: Column) -> Column:
+    """Identifier of what ``ANY_PHRASE`` has found: the first that fits from its beginning."""
     name = F.lit(None).cast("string")
-    for identifier, pattern in reversed(SENTENCES):
-        name = F.when(sentence.rlike(pattern), identifier).otherwise(name)
+    for identifier, pattern in reversed(PHRASES):
+        name = F.when(phrase.rlike(f"(?ms)\\A(?:{pattern})"), identifier).otherwise(name)
     return name
 
 
 def known_sentences(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in their order."""
-    found = F.transform(
-        F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(STEMS)),
-        lambda s: sentence_name(normalised(s)),
-    )
+    sentences = F.filter(F.split(text, SENTENCE_CUT), lambda s: s.rlike(WRAPPED_STEMS))
+    found = F.flatten(F.transform(
+        sentences,
+        lambda s: F.transform(
+            F.regexp_extract_all(normalised(s), F.lit(ANY_PHRASE), F.lit(0)), phrase_name
+        ),
+    ))
     none = F.array().cast("array<string>")
-    return F.when(text.rlike(STEMS), F.filter(found, lambda n: n.isNotNull())).otherwise(none)
+    return F.when(text.rlike(WRAPPED_STEMS), found).otherwise(none)
 
 
 def licences_of(names: Column) -> Column:

@@ -56,3 +56,126 @@ def test_query(spark, name):
 
 def test_empty_table(spark, documents):
     assert licenses.sequences(licenses.scan(documents([]))).collect() == []
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 A. Holder
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+BSD_HEAD = """Copyright (c) 2020, A. Holder
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_NAME = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+BSD_TAIL = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+"""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+BSD3 = BSD_HEAD + BSD_NAME + BSD_TAIL
+
+
+def comment(text, mark):
+    return "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n"))
+
+
+PUBLISHED = [
+    ("MIT", "Copyright;MITGrant;MITKeep;AsIs", MIT),
+    ("BSD-3-Clause", "Copyright;BSDRedist;BSDSource;BSDBinary;BSDName;AsIs", BSD3),
+    ("BSD-3-Clause", "Copyright;BSDRedist;BSDSource;BSDBinary;BSDName;AsIs", comment(BSD3, " *")),
+    ("BSD-3-Clause", "Copyright;BSDRedist;BSDSource;BSDBinary;BSDName;AsIs",
+     BSD3.replace("\n", "\r\n")),
+    ("BSD-3-Clause", "Copyright;BSDRedist;BSDSource;BSDBinary;BSDName;AsIs",
+     BSD3.replace("the copyright holder nor", "A. Holder Inc. nor")),
+    ("BSD-2-Clause", "Copyright;BSDRedist;BSDSource;BSDBinary;AsIs", BSD_HEAD + BSD_TAIL),
+    ("Apache-2.0", "ApacheNotice-2.0;ApacheCopy;ApacheLimits", APACHE),
+    ("Apache-2.0", "ApacheNotice-2.0;ApacheCopy;ApacheLimits", comment(APACHE, "#")),
+    ("GPL-3.0-or-later", "GPLNotice-3.0;GPLLater", GPL3),
+    ("GPL-3.0-or-later", "GPLNotice-3.0;GPLLater", comment(GPL3, "//")),
+    ("GPL-2.0-or-later", "GPLNotice-2.0;GPLLater", GPL2),
+    ("LGPL-2.1", "LGPLNotice-2.1;GPLLater", LGPL),
+    ("AGPL-3.0", "AGPLNotice-3.0;GPLLater", GPL3.replace("GNU General", "GNU Affero General")),
+    ("MPL-2.0", "MPLNotice-2.0", MPL),
+    ("GPL-3.0", "GPLNotice-3.0", "    GNU GENERAL PUBLIC LICENSE\n      Version 3, 29 June 2007\n"),
+    ("GPL-2.0", "GPLNotice-2.0", "    GNU GENERAL PUBLIC LICENSE\n      Version 2, June 1991\n"),
+    ("Apache-2.0", "ApacheNotice-2.0",
+     "     Apache License\n   Version 2.0, January 2004\n http://www.apache.org/licenses/\n"),
+    ("MIT", "SPDX-MIT", "// SPDX-License-Identifier: MIT\npackage a;\n"),
+    ("Apache-2.0", "SPDX-Apache-2.0", "# SPDX-License-Identifier: Apache-2.0\nimport a\n"),
+    ("GPL-2.0", "SPDX-GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0 */\nint a;\n"),
+    ("GPL-3.0", "SPDX-GPL-3.0;Copyright", "# SPDX-License-Identifier: GPL-3.0-only\n"
+     "# Copyright 2020 A. Holder\n"),
+    ("MIT,Apache-2.0", "MITNotice;ApacheNotice-2.0", "It is released under the MIT license and "
+     "parts of it\nare licensed under the Apache License, Version 2.0"),
+    ("CC-BY", "CC-BY", "Pictures: CC BY\nWords by others"),
+]
+
+
+def test_published_texts(spark, documents):
+    rows = [(i, text) for i, (_, _, text) in enumerate(PUBLISHED)]
+    got = {r.doc_id: r for r in licenses.sequences(licenses.scan(documents(rows))).collect()}
+    for i, (licence, sentences, text) in enumerate(PUBLISHED):
+        assert set(got[i].licences.split(",")) == set(licence.split(",")), text
+        assert got[i].sentences == sentences and got[i].n_sentences == len(sentences.split(";"))
