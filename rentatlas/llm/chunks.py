@@ -1,10 +1,12 @@
 """Substring dedup by content-defined chunking.
 
 A gear hash rolls over the bytes of a text; the text is cut behind white space where the hash of the last
-sixteen bytes is small. A cut depends on the bytes before it alone, so an insertion shifts chunks
-but leaves those behind it as they are. Chunks meet by digest: of the texts that hold one, the text
-with the smallest key keeps it. A text loses each run of such chunks that is at least
-``MIN_WORDS`` words long; shorter repeats, such as a line of boilerplate, stay.
+sixteen bytes is small; where ``LONG_WORD`` bytes held no white space, as in Chinese, Japanese, Thai
+or minified code, it is cut between any two characters by the same rule. A cut depends on the bytes
+before it alone, so an insertion shifts chunks but leaves those behind it as they are. Chunks meet by
+digest: of the texts that hold one, the text with the smallest key keeps it. A text loses each run of
+such chunks that is at least ``MIN_WORDS`` words long, or as long in bytes as that many words of
+``WORD_BYTES``; shorter repeats, such as a line of boilerplate, stay.
 
 Defined results: a missing text stays missing and has no chunks; rows equal in id and text count as
 one text and keep or lose the same; repeats within one text stay; an empty table yields no rows; texts
@@ -30,8 +32,15 @@ MIN_BYTES = 16
 MAX_BYTES = 512
 #: One white space in about so many is a candidate.
 SPACES_PER_CUT = 5
+#: Bytes without white space behind which a text is cut between characters.
+LONG_WORD = 64
+#: One character boundary in about so many is a candidate there.
+CHARS_PER_CUT = 16
 #: Words a repeated run must have to be dropped.
 MIN_WORDS = 16
+#: A run of fewer words is dropped if it has so many bytes for each of ``MIN_WORDS``; words that
+#: stand between white space are shorter on average.
+WORD_BYTES = 16
 WINDOW = 16
 
 
@@ -78,6 +87,24 @@ class Cuts(NamedTuple):
         ]
 
 
+def inside_words(
+    data: np.ndarray, space: np.ndarray, hashes: np.ndarray, bounds: np.ndarray
+) -> np.ndarray:
+    """Last bytes of characters that are candidates as no white space stands shortly before them."""
+    out = np.zeros(len(data), bool)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[1:] = space
+    edge[bounds] = True
+    edges = np.flatnonzero(edge)
+    for i in np.flatnonzero(np.diff(edges) > LONG_WORD).tolist():
+        start, end = int(edges[i]) + LONG_WORD - 1, int(edges[i + 1])
+        new = np.ones(end - start, bool)  # the next byte begins a character
+        after = data[start + 1 : end + 1]
+        new[: len(after)] = (after & 0xC0) != 0x80
+        out[start:end] = new & ~space[start:end] & (hashes[start:end] < 0x10000 // CHARS_PER_CUT)
+    return out
+
+
 def cut(texts: list[str | None]) -> Cuts:
     """Chunks of each text, the same whatever other texts the block holds."""
     encoded = [(t or "").encode() for t in texts]
@@ -87,7 +114,9 @@ def cut(texts: list[str | None]) -> Cuts:
     if not len(data):
         none = np.zeros(0, np.int64)
         return Cuts(raw, none, none, none)
-    candidate = np.flatnonzero(SPACE[data] & (gear_hashes(data) < 0x10000 // SPACES_PER_CUT)) + 1
+    hashes, space = gear_hashes(data), SPACE[data]
+    at_space = space & (hashes < 0x10000 // SPACES_PER_CUT)
+    candidate = np.flatnonzero(at_space | inside_words(data, space, hashes, bounds)) + 1
     doc = np.searchsorted(bounds, candidate - 1, "right") - 1
     inside = candidate - bounds[doc] >= WINDOW  # elsewhere the hash reaches into the text before
     candidate, doc = candidate[inside], doc[inside]
@@ -167,7 +196,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 def runs(
     cuts: Cuts, chosen: np.ndarray, min_words: int = MIN_WORDS
 ) -> list[tuple[int, int, int]]:
-    """(text, start, end) in bytes of each run of chosen neighbouring chunks with enough words."""
+    """(text, start, end) in bytes of each run of chosen neighbouring chunks that is long enough."""
     if not len(chosen):
         return []
     breaks = np.flatnonzero(
@@ -178,7 +207,10 @@ def runs(
     out = []
     for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True):
         start, end = int(cuts.start[a]), int(cuts.end[b])
-        if len(cuts.data[start:end].split()) >= min_words:
+        if (
+            end - start >= min_words * WORD_BYTES
+            or len(cuts.data[start:end].split()) >= min_words
+        ):
             out.append((int(cuts.doc[a]), start, end))
     return out
 

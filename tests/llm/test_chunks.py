@@ -109,3 +109,61 @@ def test_hot_chunk(spark, documents):
     text = words(random.Random(4), 50)
     out = chunks.drop_repeats(documents([(i, text) for i in range(2000)]))
     assert out.where(F.col("n_chars") > 0).count() == 1
+
+
+ALPHABETS = {
+    "chinese": [chr(c) for c in range(0x4E00, 0x5400)],
+    "japanese": [chr(c) for c in [*range(0x3041, 0x3097), *range(0x4E00, 0x4F00)]],
+    "thai": [chr(c) for c in range(0x0E01, 0x0E2F)],
+    "minified": list("abcdefghijklmnopqrstuvwxyz0123456789(){}[];,.=+!&|"),
+}
+
+
+def unspaced(rng, letters, n):
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+def test_equal_texts_without_white_space_go_but_one(spark, documents):
+    rng = random.Random(11)
+    texts = {name: unspaced(rng, letters, 2000) for name, letters in ALPHABETS.items()}
+    rows = [(10 * i + k, t) for i, t in enumerate(texts.values()) for k in range(2)]
+    out = {r.doc_id: r for r in chunks.find_repeats(documents(rows)).collect()}
+    for i, text in enumerate(texts.values()):
+        pair = [out[10 * i].text, out[10 * i + 1].text]
+        assert sorted(pair) == ["", text]
+
+
+def test_passages_without_white_space_go_but_one(spark, documents):
+    rng = random.Random(12)
+    for letters in ALPHABETS.values():
+        shared = unspaced(rng, letters, 1200)
+        rows = []
+        for i in range(6):
+            own = unspaced(rng, letters, 900)
+            at = rng.randrange(900)
+            rows.append((i, own[:at] + shared + own[at:]))
+        out = chunks.find_repeats(documents(rows)).collect()
+        assert sum(r.n_dropped == 0 for r in out) == 1
+        assert all(1000 <= r.n_dropped <= 1200 for r in out if r.n_dropped)
+        rest = dict(rows)
+        for r in out:
+            ranges = [tuple(map(int, x.split(":"))) for x in r.dropped.split(",") if x]
+            assert all(rest[r.doc_id][a:b] in shared for a, b in ranges)
+
+
+def test_an_insertion_without_white_space_changes_few_chunks():
+    rng = random.Random(13)
+    for letters in ALPHABETS.values():
+        text = unspaced(rng, letters, 6000)
+        before = set(chunks.cut([text]).digests())
+        after = chunks.cut([text[:2000] + letters[3] + text[2000:]]).digests()
+        assert len(after) > 20 and sum(d not in before for d in after) <= 4
+
+
+def test_short_repeats_without_white_space_stay(spark, documents):
+    rng = random.Random(14)
+    letters = ALPHABETS["chinese"]
+    shared = unspaced(rng, letters, 60)
+    rows = [(i, unspaced(rng, letters, 500) + shared + unspaced(rng, letters, 500))
+            for i in range(5)]
+    assert all(r.n_dropped == 0 for r in chunks.find_repeats(documents(rows)).collect())
