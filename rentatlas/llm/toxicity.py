@@ -1,10 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text becomes a set of hashed terms: its words and their beginnings, each with how often it occurs
-(at least once, twice, four and eight times). A linear weight per term and a vector per term, whose
-inner products weigh every pair of terms, give the log-odds; pairs that matter only together need no
-weight of their own. The model is fitted on a bounded sample of labelled rows, in one task, and is a
-few hundred kilobytes whatever the corpus.
+(at least once, twice, four and eight times), a row of a table of fixed size. A linear weight per row
+and a vector per row, whose inner products weigh every pair of terms, give the log-odds; pairs that
+matter only together need no weight of their own, so no term is left out for telling little alone. The
+model is fitted on a bounded sample of labelled rows, in one task. It has the rows that the sample
+uses, at most ``TERMS``: below 50 megabytes whatever the corpus.
 
 Defined results: a missing text scores as an empty one; repeated rows repeat their score; an empty
 table yields no rows; without a positive and a negative label every score is the share of positive
@@ -19,6 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,13 +32,20 @@ from rentatlas.llm.common import arrow_map, blocks, text_of
 from rentatlas.llm.labelled import SAMPLE_ROWS, is_held_out, training_rows
 
 THRESHOLD = 0.3
-BITS = 20
+BITS = 18
 LEVELS = (1, 2, 4, 8)
 PREFIXES = (3, 4, 5, 6)
-TERMS = 2048
+#: Rows of the table.
+TERMS = len(LEVELS) << BITS
 RANK = 8
 EPOCHS = 30
+BATCH = 512
 WORD = re.compile(r"\w+")
+#: Longest step of a weight and of a vector's number.
+RATE = (0.05, 0.005)
+#: A weight needs a mean slope beyond this: about half a text of a batch.
+L1 = np.float32(1e-3)
+DECAY = (np.float32(1e-4), np.float32(1e-3))
 #: Words a worker remembers the terms of.
 CACHED_WORDS = 150_000
 
@@ -47,16 +56,25 @@ def word_terms(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(t.encode()) & ((1 << BITS) - 1) for t in terms)
 
 
-def text_terms(text: str) -> np.ndarray:
-    """All (bucket, level) numbers of a text, sorted."""
-    counts: dict[int, int] = {}
-    for word, n in Counter(WORD.findall(text.lower())).items():
-        for bucket in word_terms(word):
-            counts[bucket] = counts.get(bucket, 0) + n
-    if not counts:
+def text_terms(text: str, known: dict[str, tuple[int, ...]] | None = None) -> np.ndarray:
+    """All (bucket, level) numbers of a text, sorted; ``known`` keeps the buckets of words."""
+    known = {} if known is None else known
+    if len(known) > CACHED_WORDS:
+        known.clear()
+    words = Counter(WORD.findall(text.lower()))
+    if not words:
         return np.zeros(0, np.int64)
-    bucket = np.fromiter(counts, np.int64, len(counts))
-    times = np.fromiter(counts.values(), np.int64, len(counts))
+    terms = []
+    for word in words:
+        found = known.get(word)
+        if found is None:
+            found = known[word] = word_terms(word)
+        terms.append(found)
+    sizes = np.fromiter(map(len, terms), np.int64, len(terms))
+    each = np.fromiter(chain.from_iterable(terms), np.int64, int(sizes.sum()))
+    counts = np.repeat(np.fromiter(words.values(), np.int64, len(terms)), sizes)
+    bucket, place = np.unique(each, return_inverse=True)
+    times = np.bincount(place, counts)
     levels = [bucket[times >= at] * len(LEVELS) + i for i, at in enumerate(LEVELS)]
     return np.sort(np.concatenate(levels))
 
@@ -70,10 +88,10 @@ class Machine:
     weights: np.ndarray
     vectors: np.ndarray
 
-    def score(self, active: list[int]) -> float:
+    def score(self, active: list[int] | np.ndarray) -> float:
         """Probability for the active terms, given by their places in ``terms``."""
         z = self.bias
-        if active:
+        if len(active):
             v = self.vectors[active]
             total = v.sum(0)
             z += self.weights[active].sum() + 0.5 * float((total * total - (v * v).sum(0)).sum())
@@ -100,73 +118,85 @@ def constant(share: float) -> Machine:
     )
 
 
-def choose_terms(docs: list[np.ndarray], labels: np.ndarray, terms: int = TERMS) -> np.ndarray:
-    """Terms whose presence tells most about the label, by chi-square, seen in four texts or more."""
-    size = len(LEVELS) << BITS
-    seen = np.zeros(size, np.int32)
-    toxic = np.zeros(size, np.int32)
-    for found, label in zip(docs, labels, strict=True):
-        seen[found] += 1
-        if label:
-            toxic[found] += 1
-    often = np.flatnonzero(seen >= 4)
-    n, pos = len(docs), labels.sum()
-    s, t = seen[often].astype(float), toxic[often].astype(float)
-    gap = t * n - s * pos
-    chi = gap * gap * n / np.maximum(s * (n - s) * pos * (n - pos), 1)
-    return np.sort(often[np.argsort(-chi, kind="stable")[:terms]])
+def rows_of(docs: list[np.ndarray], terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The used rows of the table; places in them, text by text; and where each text begins."""
+    folded = [np.unique(found % terms) for found in docs]
+    used = np.zeros(terms, bool)
+    for found in folded:
+        used[found] = True
+    place = np.cumsum(used, dtype=np.int32) - 1
+    starts = np.concatenate([[0], np.cumsum([len(f) for f in folded], dtype=np.int64)])
+    return np.flatnonzero(used), place[np.concatenate(folded)], starts
 
 
 def fit(
     docs: list[np.ndarray], labels: np.ndarray, terms: int = TERMS, rank: int = RANK,
     epochs: int = EPOCHS, seed: int = 7,
 ) -> Machine:
-    """Logistic loss, Adam on mini-batches, weight decay on vectors and weights."""
+    """Logistic loss, mini-batches with momentum; L1 on the weights, decay on the vectors.
+
+    Steps are in proportion to the slopes, with one scale for all weights and one for all vectors: a
+    scale per row would let terms of single texts learn those texts by heart. Weights see terms less
+    their share of texts, so that terms of nearly all texts do not swing together; what that shifts
+    goes to the bias at the end.
+    """
     labels = np.asarray(labels, np.float32)
     share = float(labels.mean()) if len(labels) else 0.0
     if not 0 < share < 1:
         return constant(share)
-    chosen = choose_terms(docs, labels, terms)
-    x = np.zeros((len(docs), len(chosen)), np.uint8)
-    for row, found in zip(x, docs, strict=True):
-        at = np.searchsorted(chosen, found)
-        at[at == len(chosen)] = 0
-        row[at[chosen[at] == found] if len(chosen) else []] = 1
+    used, places, starts = rows_of(docs, terms)
+    n_rows = len(used)
+    usual = (np.bincount(places, minlength=n_rows) / len(docs)).astype(np.float32)
     rng = np.random.default_rng(seed)
-    held = {
-        "bias": np.array([np.log(share / (1 - share))], np.float32),
-        "weights": np.zeros(len(chosen), np.float32),
-        "vectors": rng.normal(0, 0.01, (len(chosen), rank)).astype(np.float32),
-    }
-    first = {k: np.zeros_like(v) for k, v in held.items()}
-    second = {k: np.zeros_like(v) for k, v in held.items()}
-    decay = {"bias": 0.0, "weights": 1e-4, "vectors": 1e-3}
+    bias = np.array([np.log(share / (1 - share)), 0, 0])  # with its two moments
+    # Columns of the table: the weights, then the vectors.
+    held = [np.zeros(n_rows, np.float32)]
+    held += list(rng.normal(0, 0.01, (rank, n_rows)).astype(np.float32))
+    first = [np.zeros(n_rows, np.float32) for _ in held]
+    scale = np.zeros(2)  # mean square of the largest slope of weights and of vectors
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(docs))
-        for at in range(0, len(order), 512):
-            pick = order[at : at + 512]
-            some, v = x[pick].astype(np.float32), held["vectors"]
-            total = some @ v
-            z = held["bias"] + some @ held["weights"] + 0.5 * (
-                total * total - some @ (v * v)
-            ).sum(1)
+        for at in range(0, len(order), BATCH):
+            pick = np.sort(order[at : at + BATCH])
+            sizes = starts[pick + 1] - starts[pick]
+            text = np.repeat(np.arange(len(pick)), sizes)
+            active = places[
+                np.repeat(starts[pick] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(text))
+            ]
+
+            def by_text(values: np.ndarray) -> np.ndarray:
+                return np.bincount(text, values[active], len(pick))
+
+            def by_row(values: np.ndarray) -> np.ndarray:
+                return np.bincount(active, values[text], n_rows).astype(np.float32)
+
+            weights, vectors = held[0], held[1:]
+            total = [by_text(v) for v in vectors]
+            z = bias[0] - float(usual @ weights)
+            z = z + by_text(weights - 0.5 * sum(v * v for v in vectors))
+            z += 0.5 * sum(t * t for t in total)
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[pick]) / len(pick)
-            back = some.T @ error
-            slope = {
-                "bias": error.sum(keepdims=True),
-                "weights": back,
-                "vectors": some.T @ (error[:, None] * total) - v * back[:, None],
-            }
+            gap, back = float(error.sum()), by_row(error)
+            slopes = [back - usual * np.float32(gap) + DECAY[0] * weights]
+            slopes += [
+                by_row(error * t) - v * back + DECAY[1] * v
+                for v, t in zip(vectors, total, strict=True)
+            ]
             step += 1
-            for name, g in slope.items():
-                g = g + decay[name] * held[name]
-                first[name] = 0.9 * first[name] + 0.1 * g
-                second[name] = 0.999 * second[name] + 0.001 * g * g
-                held[name] = held[name] - 0.02 * (first[name] / (1 - 0.9**step)) / (
-                    np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8
-                )
-    return Machine(chosen, float(held["bias"][0]), held["weights"], held["vectors"])
+            ahead = (1 - 0.9**step, 1 - 0.999**step)
+            most = np.array([np.abs(slopes[0]).max(), max(np.abs(g).max() for g in slopes[1:])])
+            scale = 0.999 * scale + 0.001 * most * most
+            unit = np.sqrt(scale / ahead[1]) + 1e-12
+            for i, slope in enumerate(slopes):
+                first[i] = 0.9 * first[i] + 0.1 * slope
+                stride = np.float32(RATE[min(i, 1)] / unit[min(i, 1)])
+                held[i] = held[i] - stride * first[i] / np.float32(ahead[0])
+                if i == 0:
+                    held[0] = np.sign(held[0]) * np.maximum(np.abs(held[0]) - stride * L1, 0)
+            bias[1:] = 0.9 * bias[1] + 0.1 * gap, 0.999 * bias[2] + 0.001 * gap * gap
+            bias[0] -= RATE[0] * (bias[1] / ahead[0]) / (np.sqrt(bias[2] / ahead[1]) + 1e-8)
+    return Machine(used, float(bias[0] - usual @ held[0]), held[0], np.stack(held[1:], 1))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine:
@@ -174,7 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machin
 
     def fit_all(sample: pd.DataFrame) -> pd.DataFrame:
         sample = sample.sort_values(["doc_id", "text"])
-        found = [text_terms(t) for t in sample["text"]]
+        known: dict[str, tuple[int, ...]] = {}
+        found = [text_terms(t, known) for t in sample["text"]]
         return pd.DataFrame({"model": [fit(found, sample["label"].to_numpy()).dump()]})
 
     sample = training_rows(docs, labels, "toxic", rows).withColumn("all", F.lit(0))
@@ -183,32 +214,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machin
 
 
 class Scorer:
-    """Scores texts; remembers for each word which of the chosen terms it counts for."""
+    """Scores texts; remembers the buckets of words it has met."""
 
     def __init__(self, machine: Machine):
         self.machine = machine
-        self.places = {int(t): i for i, t in enumerate(machine.terms)}
-        self.buckets = {int(t) // len(LEVELS) for t in machine.terms}
+        self.place = np.full(TERMS, -1, np.int32)
+        self.place[machine.terms] = np.arange(len(machine.terms), dtype=np.int32)
         self.words: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str) -> float:
-        if len(self.words) > CACHED_WORDS:
-            self.words = {}
-        counts: dict[int, int] = {}
-        for word, n in Counter(WORD.findall(text.lower())).items():
-            hit = self.words.get(word)
-            if hit is None:
-                hit = tuple(b for b in word_terms(word) if b in self.buckets)
-                self.words[word] = hit
-            for bucket in hit:
-                counts[bucket] = counts.get(bucket, 0) + n
-        active = [
-            self.places[key]
-            for bucket, n in counts.items()
-            for i, at in enumerate(LEVELS)
-            if n >= at and (key := bucket * len(LEVELS) + i) in self.places
-        ]
-        return self.machine.score(sorted(active))
+        active = self.place[text_terms(text, self.words)]
+        return self.machine.score(active[active >= 0])
 
 
 def score_documents(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:

@@ -163,3 +163,24 @@ def test_filter_drops_toxic_rows_only(spark, documents):
     out = toxicity.drop_toxic(documents(rows), machine).collect()
     assert sorted((r.doc_id, r.text) for r in out if r.text) == [(2, "a fine thing"), (4, "fine")]
     assert 3 in {r.doc_id for r in out}
+
+
+def test_pairs_are_learned_among_more_terms_than_any_cap():
+    """At the parameters of the query; alone both terms tell nothing, and thousands tell more by chance."""
+    rng = np.random.default_rng(4)
+
+    def texts(n):
+        docs, labels = [], []
+        for _ in range(n):
+            a, b = rng.random(2) < 0.5
+            noise = rng.integers(100, 6100, 12)
+            docs.append(np.unique([*[1] * int(a), *[2] * int(b), *noise.tolist()]))
+            labels.append(int(a != b))
+        return docs, np.array(labels)
+
+    machine = toxicity.fit(*texts(6000))
+    assert len(machine.terms) > 6000
+    places = {int(t): i for i, t in enumerate(machine.terms)}
+    docs, labels = texts(1000)
+    score = [machine.score([places[t] for t in d.tolist() if t in places]) for d in docs]
+    assert ((np.array(score) > 0.5) == labels).mean() > 0.95
