@@ -184,3 +184,11 @@ def test_pairs_are_learned_among_more_terms_than_any_cap():
     docs, labels = texts(1000)
     score = [machine.score([places[t] for t in d.tolist() if t in places]) for d in docs]
     assert ((np.array(score) > 0.5) == labels).mean() > 0.95
+
+
+def test_the_trees_of_the_query_fit_beyond_nine_tenths():
+    """60 trees, as the query has; 30 trees reach 0.891 here, the best single cut 0.851."""
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, len(quality.FEATURES)))
+    y = (x[:, 2] + 0.3 * np.sin(20 * x[:, 2]) + 0.2 * rng.random(3000) < 0.6).astype(float)
+    assert ((quality.fit(x, y).score(x) > 0.5) == (y > 0)).mean() > 0.9
