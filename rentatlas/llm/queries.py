@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rentatlas.llm import (
     chunks,
+    infill,
     licenses,
     minhash,
     packing,
@@ -70,12 +71,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(docs, trees)
 
 
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = infill.store(read_table(spark, sf_dir, "documents"))
+    return infill.digests(infill.transform(stored))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_best_fit_packing, op2_licenses, op3_substring_dedup, op4_pii, op5_toxicity,
-        op6_simhash, op7_warc, op8_sentencepiece, op9_minhash, op10_quality,
+        op6_simhash, op7_warc, op8_sentencepiece, op9_minhash, op10_quality, op13_infill,
     )
 }
 
-ORACLE: dict[str, str] = {"op2_licenses": licenses.oracle_sql()}
+ORACLE: dict[str, str] = {
+    "op2_licenses": licenses.oracle_sql(),
+    "op13_infill": infill.oracle_sql(),
+}
