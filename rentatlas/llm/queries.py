@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rentatlas.llm import (
+    alignment,
     chunks,
     infill,
     licenses,
@@ -71,6 +72,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(docs, trees)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = infill.store(read_table(spark, sf_dir, "documents"))
     return infill.digests(infill.transform(stored))
@@ -80,7 +85,7 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_best_fit_packing, op2_licenses, op3_substring_dedup, op4_pii, op5_toxicity,
-        op6_simhash, op7_warc, op8_sentencepiece, op9_minhash, op10_quality, op13_infill,
+        op6_simhash, op7_warc, op8_sentencepiece, op9_minhash, op10_quality, op12_alignment, op13_infill,
     )
 }
 
