@@ -30,7 +30,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ from rentatlas.llm.packing import tokenizer_path, visible_bytes
 from rentatlas.llm.pieces import model_path
 
 #: Text of a block, and pairs (of all blocks) a shard stands for.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 SHARD_PAIRS = 1 << 20
 LEAVES = 16
 FAN_IN = 4
@@ -129,27 +129,17 @@ class Pair:
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
-        import tiktoken
-        from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path_a)
-        self.whole.encode_special_tokens = True
+        self.path_a = path_a
         with open(path_a, encoding="utf-8") as file:
             config = json.load(file)
         back = {chr(c): b for b, c in visible_bytes().items()}
         special = {t["content"] for t in config["added_tokens"]}
         vocab = config["model"]["vocab"]
-        ranks = {
-            bytes(back[c] for c in token): i for token, i in vocab.items() if token not in special
-        }
-        # Merges of the file are made in the order of the ids they make, so ids serve as ranks.
-        self.fast = tiktoken.Encoding(
-            "pair", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
-        )
-        self.bytes_a = [b""] * (max(self.whole.get_vocab().values()) + 1)
-        for token, i in ranks.items():
-            self.bytes_a[i] = token
+        self.bytes_a = [b""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            if token not in special:
+                self.bytes_a[i] = bytes(back[c] for c in token)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = []
         for i in range(self.pieces.get_piece_size()):
@@ -162,9 +152,33 @@ class Pair:
                 self.bytes_b.append(piece.replace("▁", " ").encode())
         self.size_a = np.array([len(x) for x in self.bytes_a])
         self.size_b = np.array([len(x) for x in self.bytes_b])
-        # Decimal ids with what follows: the next token of the group, or what ends its half.
+
+    @cached_property
+    def whole(self):
+        """The tokenizer as its file describes it."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path_a)
+        made.encode_special_tokens = True
+        return made
+
+    @cached_property
+    def fast(self):
+        """The same ids, four times as fast and without a memory of words.
+
+        Merges of the file are made in the order of the ids they make, so ids serve as ranks.
+        """
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        ranks = {token: i for i, token in enumerate(self.bytes_a) if token}
+        return tiktoken.Encoding("pair", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @cached_property
+    def shown(self) -> list[str]:
+        """Decimal ids with what follows: the next token of the group, or what ends its half."""
         na, nb = len(self.bytes_a), len(self.bytes_b)
-        self.shown = (
+        return (
             [f"{i}," for i in range(na)] + [f"{i}|" for i in range(na)]
             + [f"{i}," for i in range(nb)] + [f"{i};" for i in range(nb)]
         )
@@ -175,10 +189,11 @@ class Pair:
         except Exception:  # the pattern engine gives up on some endless runs
             return self.whole.encode(text, add_special_tokens=False).ids
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Tokens of each text; none where either side doesn't give ``" " + text`` back."""
         out = []
-        for text, b in zip(texts, self.pieces.encode(texts, num_threads=1), strict=True):
+        for text in texts:
+            b = self.pieces.encode(text)
             a = self.ids_a(" " + text) if text else []
             raw = b" " + text.encode()
             same = (
@@ -186,7 +201,7 @@ class Pair:
                 and b"".join(map(self.bytes_a.__getitem__, a)) == raw
                 and b"".join(map(self.bytes_b.__getitem__, b)) == raw
             )
-            out.append((a, b) if same else ([], []))
+            out.append(tuple(np.array(x if same else [], "<u4") for x in (a, b)))
         return out
 
 
@@ -283,8 +298,7 @@ def token_blocks(docs: DataFrame, path_a: str, path_b: str, limit: int = BLOCK_B
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in blocks(batches, limit=limit):
                 ids = pair.encode(batch.column("text").to_pylist())
-                a = np.fromiter((i for x, _ in ids for i in x), "<u4")
-                b = np.fromiter((i for _, x in ids for i in x), "<u4")
+                a, b = (np.concatenate([x[k] for x in ids]) for k in (0, 1))
                 n_a, n_b = (np.array([len(x[k]) for x in ids], np.int64) for k in (0, 1))
                 pairs, counts = np.unique(align(pair, a, b, n_a).links, return_counts=True)
                 yield _one(

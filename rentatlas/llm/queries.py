@@ -18,6 +18,7 @@ from rentatlas.llm import (
     quality,
     simhash,
     toxicity,
+    vertical,
     warc,
 )
 from rentatlas.llm.common import read_table
@@ -72,6 +73,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(docs, trees)
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vertical.join_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(read_table(spark, sf_dir, "documents"))
 
@@ -85,11 +90,13 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_best_fit_packing, op2_licenses, op3_substring_dedup, op4_pii, op5_toxicity,
-        op6_simhash, op7_warc, op8_sentencepiece, op9_minhash, op10_quality, op12_alignment, op13_infill,
+        op6_simhash, op7_warc, op8_sentencepiece, op9_minhash, op10_quality, op11_jaccard_join,
+        op12_alignment, op13_infill,
     )
 }
 
 ORACLE: dict[str, str] = {
     "op2_licenses": licenses.oracle_sql(),
+    "op11_jaccard_join": vertical.oracle_sql(),
     "op13_infill": infill.oracle_sql(),
 }
