@@ -172,7 +172,7 @@ def head_length(n: int) -> int:
 
 # -- candidates
 
-SETS = "doc_id long, h1 long, h2 long, id long, check long, size int, head array<long>"
+SETS = "doc_id long, h1 long, h2 long, h3 long, id long, check long, size int, head array<long>"
 
 
 def sets_of(texts: DataFrame, classes: np.ndarray) -> DataFrame:
@@ -192,22 +192,42 @@ def sets_of(texts: DataFrame, classes: np.ndarray) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("doc_id"), part.column("h1"), part.column("h2"),
+                    *(part.column(c) for c in ("doc_id", "h1", "h2", "h3")),
                     pa.array(names[0]), pa.array(names[1]),
                     pa.array([len(f) for f in found], pa.int32()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
                 ],
-                ["doc_id", "h1", "h2", "id", "check", "size", "head"],
+                ["doc_id", "h1", "h2", "h3", "id", "check", "size", "head"],
             )
 
     return arrow_map(texts, lambda: run, SETS)
 
 
+def _needed(sx: Column, sy: Column) -> Column:
+    """Least overlap of two linked sets of these sizes."""
+    return F.ceil(PERCENT * (sx + sy) / F.lit(100 + PERCENT))
+
+
 def shared_heads(sets: DataFrame) -> DataFrame:
-    """``shingle, id, size, at, hub``: first shingles that several sets hold; ``hub`` the least set."""
-    rows = sets.select("id", "size", F.posexplode("head").alias("at", "shingle"))
-    held = rows.groupBy("shingle").agg(F.min("id").alias("hub"), F.max("id").alias("most"))
-    held = held.where("hub < most").select("shingle", "hub")
+    """``shingle, id, size, at, hub``: first shingles that several sets hold; ``hub`` the least set.
+
+    Where two sets alone hold a shingle and it leaves too little in one of them, it is left out: it is
+    not the first one a linked pair shares. Counting and joining use one exchange of the rows; both
+    stream through a shingle's rows and hold none of them.
+    """
+    n = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    rows = sets.select(
+        "id", "size", F.posexplode("head").alias("at", "shingle")
+    ).repartition(n, "shingle")
+    row = F.struct("id", "size", "at")
+    held = rows.groupBy("shingle").agg(
+        F.min(row).alias("low"), F.max(row).alias("high"), F.count("*").alias("n")
+    )
+    left = F.least(*[F.col(f"{s}.size") - F.col(f"{s}.at") for s in ("low", "high")])
+    enough = left >= _needed(F.col("low.size"), F.col("high.size"))
+    held = held.where((F.col("n") > 2) | ((F.col("n") == 2) & enough)).select(
+        "shingle", F.col("low.id").alias("hub")
+    )
     return rows.join(held.hint("merge"), "shingle")
 
 
@@ -216,6 +236,9 @@ def block_pairs(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     homes = shared.groupBy("id").agg(
         F.min("hub").alias("home"), F.max("size").alias("size")
     )
+    # A home whose own set has moved on moves with it, once, so groups do not fall apart.
+    moved = homes.select(F.col("id").alias("home"), F.col("home").alias("next"))
+    homes = homes.join(moved, "home").select("id", "size", F.col("next").alias("home"))
     sizes = homes.groupBy("home").agg(
         F.greatest(
             F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)
@@ -507,7 +530,11 @@ def links_of(found: DataFrame, cut: DataFrame) -> DataFrame:
 
 
 def _keys() -> list[Column]:
-    return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")]
+    """Three hashes that stand for a row's id and text."""
+    return [
+        F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"),
+        F.xxhash64("doc_id").alias("h3"),
+    ]
 
 
 def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -518,7 +545,7 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = stage(sets_of(texts.select("doc_id", "text", *_keys()), classes), "rows")
     # Equal sets are one; of the texts that have it, the one whose keys are least gives the set.
     names = rows.where("size > 0").groupBy("id").agg(
-        F.min(F.struct("h1", "h2")).alias("text_key"), F.min("check").alias("low"),
+        F.min(F.struct("h1", "h2", "h3")).alias("text_key"), F.min("check").alias("low"),
         F.max("check").alias("high"), F.first("size").alias("size"), F.first("head").alias("head"),
     )
     sets = stage(names, "sets")
@@ -528,13 +555,11 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members, pairs = block_pairs(shared)
     found = stage(candidates(shared, members, pairs), "candidates")
     wanted = found.select(F.explode("ids").alias("id")).distinct().join(sets, "id").select(
-        "id", F.col("text_key.h1").alias("h1"), F.col("text_key.h2").alias("h2")
+        "id", "text_key.h1", "text_key.h2", "text_key.h3"
     )
     # Whole texts only of sets in a candidate pair; their number grows with the corpus, so no broadcast.
-    needed = (
-        texts.select("text", *_keys()).join(wanted.hint("merge"), ["h1", "h2"])
-        .groupBy("id").agg(F.first("text").alias("text"))
-    )
+    # Rows equal in id and text give their set's segments more than once, which does no harm.
+    needed = texts.select("text", *_keys()).join(wanted.hint("merge"), ["h1", "h2", "h3"])
     cut = segments(needed, classes, pivots_of(table, classes))
     return rows, stage(links_of(found, cut), "links")
 
