@@ -13,15 +13,15 @@ from rentatlas.operators.classify import add_flags, clean_units, forward_geocode
 from rentatlas.operators.columns import drop_index_column, first_of_repeated, union_by_name
 from rentatlas.operators.normalize import add_quarter
 from rentatlas.operators.spatial import add_state_plane, attach_polygons
-from rentatlas.operators.summarize import sorted_by_keys, summarize, summarize_all
+from rentatlas.operators.summarize import summarize, summarize_all
 from rentatlas.plans.catalogue import (
     ANNUAL_COUNTS,
     ANNUAL_FORWARD,
     ANNUAL_PRODUCTS,
 )
-from rentatlas.plans.period import stage_products, write_products
+from rentatlas.plans.period import stage_products, write_products, write_units
 from rentatlas.session import Staging, required_conf
-from rentatlas.sinks.csv import write_by_town, write_csv
+from rentatlas.sinks.publish import Publication
 from rentatlas.sinks.points import unit_points, write_points
 from rentatlas.sources.schema import (
     NOT_ANNUAL,
@@ -93,20 +93,24 @@ def run_year(
 
     ``forward`` adds the summary of the forward-geocoded units, which is not published as a rule.
     """
-    with required_conf(spark), Staging(spark) as staging:
+    with (
+        required_conf(spark), Staging(spark) as staging,
+        Publication(spark, out, period) as publication,
+    ):
         units = staging.stage(annual_units(quarters, parcels, zips, xy), "units")
         clean = clean_units(units, scam)
         long = stage_products(staging, summarize_all(clean, ANNUAL_PRODUCTS))
-        region, towns = f"{out}/period={period}", f"{out}/towns/period={period}"
-        counts = sorted_by_keys(summarize(units, ANNUAL_COUNTS), ANNUAL_COUNTS.keys)
-        write_csv(counts, f"{region}/product={ANNUAL_COUNTS.name}")
-        write_csv(units, f"{region}/product=units")
-        write_csv(clean, f"{region}/product=clean_units")
-        write_by_town(clean, f"{towns}/product=clean_units", rebalance=True)
-        write_products(long, ANNUAL_PRODUCTS, region, towns)
+        single = [(ANNUAL_COUNTS, summarize(units, ANNUAL_COUNTS))]
         if forward:
-            table = sorted_by_keys(forward_summary(clean), ANNUAL_FORWARD.keys)
-            write_csv(table, f"{region}/product={ANNUAL_FORWARD.name}")
+            single.append((ANNUAL_FORWARD, forward_summary(clean)))
+        products = list(ANNUAL_PRODUCTS)
+        for product, rows in single:
+            long = long.unionByName(
+                rows.withColumn("product", F.lit(product.name)), allowMissingColumns=True
+            )
+            products.append(product)
+        write_units(publication, units, clean)
+        write_products(publication, long, products)
 
 
 def forward_summary(clean: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentatlas.operators.classify import add_flags, clean_units, whole_units
+from rentatlas.operators.classify import add_flags, clean_units, in_towns, whole_units
 from rentatlas.operators.normalize import normalize_listings
 from rentatlas.operators.spatial import (
     PolygonIndex,
@@ -15,7 +15,7 @@ from rentatlas.operators.spatial import (
     attach_polygons,
     index_polygons,
 )
-from rentatlas.operators.summarize import product_rows, sorted_by_keys, summarize_all
+from rentatlas.operators.summarize import summarize_all
 from rentatlas.operators.year_built import (
     completion_years,
     join_partner_years,
@@ -24,7 +24,8 @@ from rentatlas.operators.year_built import (
 )
 from rentatlas.plans.catalogue import PERIOD_PRODUCTS, Product
 from rentatlas.session import Staging, required_conf
-from rentatlas.sinks.csv import write_by_town, write_csv
+from rentatlas.sinks.csv import write_by_town, write_csv, write_tables
+from rentatlas.sinks.publish import Publication
 from rentatlas.sources.schema import PARCEL_ATTRS, ZIP_ATTRS, unit_columns
 
 
@@ -115,14 +116,35 @@ def build_units(inputs: Inputs, rules: Rules = Rules()) -> DataFrame:
     return units.select(*unit_columns(units))
 
 
-def write_products(
-    long: DataFrame, products: list[Product], region: str, towns: str
+def write_units(
+    publication: Publication, units: DataFrame, clean: DataFrame
 ) -> None:
-    for product in products:
-        rows = product_rows(long, product)
-        write_csv(sorted_by_keys(rows, product.keys), f"{region}/product={product.name}")
-        if product.by_town:
-            write_by_town(rows, f"{towns}/product={product.name}", product.keys)
+    """The unit tables, the clean units of each published town among them."""
+    town = "towns/clean_units"
+    write_csv(publication.counted(units, {"units": None}), f"{publication.region}/product=units")
+    write_csv(
+        publication.counted(clean, {"clean_units": None}),
+        f"{publication.region}/product=clean_units",
+    )
+    write_by_town(
+        publication.counted(in_towns(clean), {town: None}),
+        f"{publication.towns}/product=clean_units", rebalance=True,
+    )
+
+
+def write_products(publication: Publication, long: DataFrame, products: list[Product]) -> None:
+    """All summaries in two writes: region-wide, and by town where a product has towns."""
+    tables = {p.name: F.col("product") == p.name for p in products}
+    write_tables(
+        long, products, publication.region, watch=lambda df: publication.counted(df, tables)
+    )
+    local = [p for p in products if p.by_town]
+    tables = {f"towns/{p.name}": F.col("product") == p.name for p in local}
+    towns = in_towns(long.where(F.col("product").isin([p.name for p in local])))
+    write_tables(
+        towns.withColumn("town", F.col("muni")), local, publication.towns, ["town"],
+        lambda df: publication.counted(df, tables),
+    )
 
 
 def run_period(
@@ -131,17 +153,18 @@ def run_period(
     """Write all tables of one month or quarter under ``out``.
 
     The units are staged once, as the spatial and partner joins are the costly part; the clean
-    units are a filter on the staged files, pushed into their scan.
+    units are a filter on the staged files, pushed into their scan. Readers see all of the tables or
+    those of the run before (``sinks.publish``).
     """
-    with required_conf(spark), Staging(spark) as staging:
+    with (
+        required_conf(spark), Staging(spark) as staging,
+        Publication(spark, out, period) as publication,
+    ):
         units = staging.stage(build_units(indexed(inputs, staging), rules), "units")
         clean = clean_units(units, rules.scam)
         long = stage_products(staging, summarize_all(clean, PERIOD_PRODUCTS))
-        region, towns = f"{out}/period={period}", f"{out}/towns/period={period}"
-        write_csv(units, f"{region}/product=units")
-        write_csv(clean, f"{region}/product=clean_units")
-        write_by_town(clean, f"{towns}/product=clean_units", rebalance=True)
-        write_products(long, PERIOD_PRODUCTS, region, towns)
+        write_units(publication, units, clean)
+        write_products(publication, long, PERIOD_PRODUCTS)
 
 
 def stage_products(staging: Staging, long: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ def read_completions(
     header.
     """
     if declared:
-        done = clean_names(read_declared_text(spark, older, encoding=encoding))
+        done = clean_names(read_declared_text(spark, older, encoding=encoding, **options))
     else:
         done = clean_names(read_csv(spark, older, encoding, **options))
     if key != "parloc_id":
@@ -161,14 +161,18 @@ def read_completions(
 
 def read_declared_text(
     spark: SparkSession, path: str, names: list[str] = COMPLETION_COLUMNS,
-    encoding: str = LATIN_1, **options,
+    encoding: str = LATIN_1, multiline: bool = True, blank: str = "text", **options,
 ) -> DataFrame:
-    """A file whose columns are all declared as text; a differing header fails the job."""
+    """A file whose columns are all declared as text; a differing header fails the job.
+
+    ``multiline`` and ``blank`` mean what they mean for ``read_csv``.
+    """
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.schema(schema).options(
-        header=True, nullValue="NA", escape='"', encoding=encoding, mode="FAILFAST",
-        enforceSchema=False, **options,
-    ).csv(path)
+    read = spark.read.schema(schema).options(
+        header=True, nullValue=BLANK_MARK, escape='"', encoding=encoding, mode="FAILFAST",
+        enforceSchema=False, multiLine=multiline, **options,
+    )
+    return _without_missing(read.csv(path), blank)
 
 
 def read_recoded(

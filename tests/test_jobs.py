@@ -8,6 +8,7 @@ from dataclasses import replace
 
 import pytest
 from conftest import values
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from rentatlas.__main__ import main, parser, read_polygons, rules_of
@@ -15,11 +16,14 @@ from rentatlas.functions.geometry import RINGS_TYPE
 from rentatlas.operators.columns import MissingColumns
 from rentatlas.plans.annual import annual_units, forward_summary, run_year
 from rentatlas.operators.classify import clean_units
-from rentatlas.operators.summarize import summarize
-from rentatlas.plans.catalogue import PERIOD_TABLES
+from rentatlas.operators.summarize import sorted_by_keys, summarize
+from rentatlas.plans import period
+from rentatlas.plans.catalogue import PERIOD_TABLES, Product
 from rentatlas.plans.period import Inputs, Rules, build_units, run_period
-from rentatlas.sinks.csv import write_csv
+from rentatlas.sinks import publish
+from rentatlas.sinks.csv import table_columns, write_csv, write_tables
 from rentatlas.sinks.points import unit_points
+from rentatlas.sinks.publish import published
 from rentatlas.sources.csv import (
     MissingSource,
     read_completions,
@@ -444,3 +448,152 @@ def test_command_line_switches(spark, files, tmp_path):
                    "2,02109,Boston,POLYGON EMPTY\n")
     layer = read_polygons(spark, str(wkt), ZIP_ATTRS, "wkt", "objectid").orderBy("poly_idx")
     assert [(r.poly_idx, len(r.rings)) for r in layer.collect()] == [(1, 1), (2, 0)]
+
+
+def all_files(folder):
+    found = {}
+    for at, _, names in os.walk(folder):
+        for name in names:
+            if not name.endswith(".crc"):
+                path = os.path.join(at, name)
+                with open(path, "rb") as f:
+                    found[os.path.relpath(path, folder)] = f.read()
+    return found
+
+
+def tables_of(out, period):
+    return {
+        part: all_files(f"{out}/{folder}")
+        for part, folder in (("region", f"period={period}"), ("towns", f"towns/period={period}"))
+    }
+
+
+def test_manifest_counts_the_rows_of_every_table(spark, inputs, tmp_path):
+    out = str(tmp_path / "out")
+    run_period(spark, inputs, out, "2021-01")
+    manifest = published(spark, out, "2021-01")
+    region = f"{out}/period=2021-01"
+    names = {n.removeprefix("product=") for n in os.listdir(region)}
+    towns = {n.removeprefix("product=") for n in os.listdir(f"{out}/towns/period=2021-01")}
+    assert set(manifest["tables"]) == names | {f"towns/{n}" for n in towns}
+    for name in names:
+        assert manifest["tables"][name] == len(read_back(f"{region}/product={name}"))
+    for name in towns:
+        rows = [
+            r for town in glob.glob(f"{out}/towns/period=2021-01/product={name}/town=*")
+            for r in read_back(town)
+        ]
+        assert manifest["tables"][f"towns/{name}"] == len(rows)
+    with pytest.raises(FileNotFoundError):
+        published(spark, out, "2020-12")
+
+
+def test_a_stopped_run_leaves_the_old_period_whole(spark, inputs, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    run_period(spark, inputs, out, "2021-01")
+    before, manifest = tables_of(out, "2021-01"), published(spark, out, "2021-01")
+
+    def broken(*args, **kwargs):
+        raise RuntimeError("stopped")
+
+    smaller = replace(inputs, listings=inputs.listings.where("id < 5"))
+    with monkeypatch.context() as m:
+        m.setattr(period, "write_products", broken)
+        with pytest.raises(RuntimeError, match="stopped"):
+            run_period(spark, smaller, out, "2021-01")
+    assert tables_of(out, "2021-01") == before
+    assert published(spark, out, "2021-01") == manifest
+
+    # A process that dies leaves its attempt behind; the next run of the period clears it.
+    lost = f"{out}/_attempts/2021-01/lost/region/product=units"
+    os.makedirs(lost)
+    with monkeypatch.context() as m:
+        m.setattr(publish, "roll_forward", broken)
+        with pytest.raises(RuntimeError, match="stopped"):
+            run_period(spark, smaller, out, "2021-01")
+    assert not os.path.exists(lost)
+    assert tables_of(out, "2021-01") == before
+    # It stopped behind the switch: the next reader finishes it.
+    done = published(spark, out, "2021-01")
+    assert done["tables"]["units"] == len(read_back(f"{out}/period=2021-01/product=units")) == 4
+    assert os.listdir(f"{out}/_attempts/2021-01") == []
+
+
+@pytest.mark.parametrize("stop", [0, 1, 2, 3])
+def test_roll_forward_from_any_point(spark, tmp_path, stop):
+    out = str(tmp_path / "out")
+
+    class Stops(publish.Files):
+        moves = 0
+
+        def move(self, source, target):
+            if self.moves == stop:
+                raise OSError("stopped")
+            self.moves += 1
+            super().move(source, target)
+
+    def version(text):
+        with publish.Publication(spark, out, "p") as p:
+            for part in (p.region, p.towns):
+                p.files.write(f"{part}/product=x/part-0.csv", text)
+
+    version("old")
+    try:
+        with publish.Publication(spark, out, "p") as p:
+            for part in (p.region, p.towns):
+                p.files.write(f"{part}/product=x/part-0.csv", "new")
+            files, p.files = p.files, Stops(spark, out)
+    except OSError:
+        pass
+    published(spark, out, "p")
+    want = b"old" if stop == 0 else b"new"
+    assert tables_of(out, "p") == {
+        part: {"product=x/part-0.csv": want} for part in ("region", "towns")
+    }
+
+
+def test_lines_are_those_of_the_csv_writer(spark, tmp_path):
+    products = [Product("a", ("name", "n")), Product("b", ("n",), mean=False)]
+    long = spark.createDataFrame(
+        [("a", 'say "hi", you', 2, 5, 1234.0, 1e-5), ("a", None, 1, 1, None, 2.5),
+         ("a", "", 10, 1, 3.0, 2e8), ("a", "", 9, 1, 3.0, 2.0), ("a", " x\ny ", 3, 1, 3.0, None),
+         ("b", None, None, 7, None, 1.0), ("b", None, 11, 7, None, 1.0), ("b", None, 2, 7, None, 1.0)],
+        "product string, name string, n int, rentcount long, meanrent double, medrent double",
+    )
+    write_tables(long, products, str(tmp_path / "all"))
+    for p in products:
+        rows = long.where(f"product = '{p.name}'").select(*table_columns(p))
+        write_csv(sorted_by_keys(rows, p.keys).coalesce(1), str(tmp_path / p.name))
+        texts = []
+        for folder in (tmp_path / "all" / f"product={p.name}", tmp_path / p.name):
+            (name,) = glob.glob(f"{folder}/part-*.csv")
+            with open(name, encoding="utf-8") as f:
+                texts.append(f.read())
+        assert texts[0] == texts[1]
+
+
+def test_year_job_makes_five_writes(spark, inputs, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    write_csv(build_units(inputs), f"{out}/q1")
+    writes = []
+    for kind in ("csv", "text"):
+        old = getattr(DataFrameWriter, kind)
+        monkeypatch.setattr(
+            DataFrameWriter, kind,
+            lambda self, path, *a, old=old, **k: writes.append(path) or old(self, path, *a, **k),
+        )
+    run_year(spark, [read_csv(spark, f"{out}/q1")], out, "2021", forward=True)
+    assert len(writes) == 5
+    assert published(spark, out, "2021")["tables"]["annual_fwd"] > 0
+
+
+def test_declared_completions_follow_the_reading_switches(spark, tmp_path):
+    row = dict.fromkeys(COMPLETION_COLUMNS, "x")
+    row["Project"], row["Agency"] = "two\nlines", ""
+    names = list(row)
+    path = write_rows(tmp_path / "declared.csv", names, [row])
+    text = read_declared_text(spark, path).first()
+    assert text["Project"] == "two\nlines" and text[names.index("Agency")] == ""
+    assert read_declared_text(spark, path, blank="null").first()["Agency"] is None
+    with pytest.raises(Exception, match="(?i)malformed|header|column"):
+        read_declared_text(spark, path, multiline=False).collect()
