@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,3 +63,51 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataF
         yield from make()(batches)
 
     return df.mapInArrow(run, schema)
+
+
+#: Counters sent in one row of a counter table, as a power of two.
+SLICE_BITS = 16
+
+
+def counter_table(
+    df: DataFrame, bits: int, places: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]
+) -> np.ndarray:
+    """Sums in ``2 ** bits`` counters over all rows; ``places`` gives the counters to add one to.
+
+    A counter goes up by one for each array that names it, however often. Tasks send their own counters in compressed slices, which are
+    added slice by slice; what reaches the driver has a fixed size whatever the rows.
+    """
+    import zstandard
+
+    size = 1 << SLICE_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        table = np.zeros(1 << bits, np.int64)
+        for found in places(batches):
+            table[found] += 1
+        slices = [table[k : k + size] for k in range(0, len(table), size)]
+        used = [k for k, part in enumerate(slices) if part.any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used, pa.int32()),
+             pa.array([pack(slices[k].tobytes()) for k in used], pa.binary())],
+            ["slice", "counts"],
+        )
+
+    def added(rows: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        total = np.zeros(size, np.int64)
+        for data in rows["counts"].to_pylist():
+            total += np.frombuffer(unpack(data), np.int64)
+        packed = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
+        return pa.table({
+            "slice": rows["slice"].slice(0, 1), "counts": pa.array([packed], pa.binary()),
+        })
+
+    names = "slice int, counts binary"
+    held = arrow_map(df, lambda: run, names).groupBy("slice").applyInArrow(added, names).toArrow()
+    table = np.zeros(1 << bits, np.int64)
+    for k, data in zip(held["slice"].to_pylist(), held["counts"].to_pylist(), strict=True):
+        part = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int64)
+        table[k * size : (k + 1) * size] = part
+    return table

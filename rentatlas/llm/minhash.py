@@ -9,8 +9,7 @@ Inverse document frequency: ``1 + log(1 / max(share, RARE)) / log(1 / RARE)`` wi
 share of all documents that hold the shingle, so weights lie between 1 and 2. Only shingles in more
 than ``RARE`` of all documents need a count of their own; these are at most (mean number of shingles
 of a text) / RARE whatever the corpus, so they can be sent to all tasks. They are found exactly: a
-shingle as frequent as that over all documents is as frequent in at least one block of them; the
-shingles that pass this in any block are then counted in all documents.
+fixed table of counters tells which shingles may be that frequent, and those are counted one by one.
 
 Comparison: candidates are joined to components first (ids only), each component is dealt out in
 blocks of bounded size, and every pair of blocks is compared as a whole inside one task that returns
@@ -33,15 +32,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rentatlas.llm.common import arrow_map, blocks, stage, text_of
+from rentatlas.llm.common import arrow_map, blocks, counter_table, stage, text_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 10
 ROWS = 3
 RARE = 1e-3
-#: Shingles a task holds while it looks for frequent ones, and variates each hash draws from.
-COUNT_AT_ONCE = 3_000_000
+#: Counters that frequent shingles are looked for with, and variates each hash draws from.
+COUNTER_BITS = 22
 POOL_BITS = 17
 #: Text and texts that one block of a comparison holds.
 BLOCK_TEXT = 4_000_000
@@ -117,75 +116,46 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent_shingles(docs: DataFrame, share: float = RARE) -> tuple[np.ndarray, np.ndarray, int]:
     """(shingles ascending, documents that hold each, number of documents) above ``share``.
 
-    Two passes over all documents; what comes to the driver is bounded by the share.
+    Two passes over all documents. The first counts the documents on each of ``2 ** COUNTER_BITS``
+    counters; a shingle whose counter stays below the share is surely rarer. The second counts the
+    other shingles exactly. Neither depends on how the documents are partitioned, and what comes to
+    the driver is bounded by the number of counters and by the share.
     """
     texts = docs.select(text_of().alias("text"))
     total = texts.count()
     least = max(2, int(np.ceil(share * total)))
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, 0
-
-        def flush() -> pa.RecordBatch:
-            found, times = np.unique(np.concatenate(held), return_counts=True)
-            local = max(1, -(-least * seen // total))
-            keep = times >= local
-            # Row -1 tells how many documents of this block a shingle may hide in.
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.append(found[keep].astype(np.int64), -1)),
-                    pa.array(np.append(times[keep], local - 1)),
-                ],
-                ["shingle", "n"],
-            )
-
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for part in parts(batches):
             block = shingled(part.column("text"))
-            held.append(block.shingle)
-            size, seen = size + len(block.shingle), seen + block.docs
-            if size > COUNT_AT_ONCE:
-                yield flush()
-                held, size, seen = [], 0, 0
-        if held:
-            yield flush()
-
-    found = (
-        arrow_map(texts, lambda: candidates, "shingle long, n long")
-        .groupBy("shingle").agg(F.sum("n").alias("n"))
-    )
-    found = stage(found, "shingle-candidates")
-    hidden = found.where("shingle = -1").agg(F.sum("n")).first()[0] or 0
-    likely = found.where((F.col("shingle") >= 0) & (F.col("n") + hidden >= least)).toArrow()
-    shingles = np.sort(likely["shingle"].to_numpy())
-    if hidden and len(shingles):
-        counted = count_shingles(texts, shingles)
-    else:
-        order = np.argsort(likely["shingle"].to_numpy())
-        counted = likely["n"].to_numpy()[order]
-    keep = counted >= least
-    return shingles[keep].astype(U), counted[keep], total
-
-
-def count_shingles(texts: DataFrame, shingles: np.ndarray) -> np.ndarray:
-    """Documents that hold each of the given shingles, over all documents."""
-    sent = texts.sparkSession.sparkContext.broadcast(shingles.astype(U))
+            counter = (block.shingle >> U(48 - COUNTER_BITS)).astype(np.int64)
+            bounds = block.bounds().tolist()
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                yield counter[a:b]
+
+    heavy = counter_table(texts, COUNTER_BITS, places) >= least
+    if not heavy.any():
+        return np.zeros(0, U), np.zeros(0, np.int64), total
+    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(heavy))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = sent.value
-        total = np.zeros(len(wanted), np.int64)
+        heavy = np.unpackbits(sent.value).astype(bool)
         for part in parts(batches):
             block = shingled(part.column("text"))
-            at = np.searchsorted(wanted, block.shingle)
-            at[at == len(wanted)] = 0
-            total += np.bincount(at[wanted[at] == block.shingle], minlength=len(wanted))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["at", "n"])
-
-    sums = arrow_map(texts, lambda: count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    held = sums.toArrow()
-    out = np.zeros(len(shingles), np.int64)
-    out[held["at"].to_numpy()] = held["n"].to_numpy()
-    return out
+            likely = block.shingle[heavy[(block.shingle >> U(48 - COUNTER_BITS)).astype(np.int64)]]
+            found, n = np.unique(likely, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.astype(np.int64)), pa.array(n)], ["shingle", "n"]
+            )
+
+    counts = arrow_map(texts, lambda: count, "shingle long, n long").groupBy("shingle").agg(
+        F.sum("n").alias("n")
+    )
+    held = counts.where(F.col("n") >= least).toArrow()
+    order = np.argsort(held["shingle"].to_numpy())
+    return (
+        held["shingle"].to_numpy()[order].astype(U), held["n"].to_numpy()[order], total
+    )
 
 
 @dataclass
@@ -543,10 +513,8 @@ def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFram
     columns = docs.columns
     whole = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
     near = classes(docs, least)
-    slim = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("order"),
-        whole.alias("row"), text_id_of().alias("id"),
-    )
+    first = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    slim = docs.select(first.alias("order"), whole.alias("row"), text_id_of().alias("id"))
     ranked = slim.join(near, "id", "left").select(
         F.coalesce("class", "id").alias("class"), "order", "row"
     )
@@ -557,20 +525,15 @@ def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFram
     )
     equal = ranked.groupBy("class", "order", "row").agg(F.count("*").alias("copies"))
     chosen = stage(
-        chosen.join(equal, ["class", "order", "row"]).select(
-            F.col("order").alias("__order"), F.col("row").alias("__row"),
-            F.col("copies").alias("__copies"),
-        ),
-        "chosen",
+        chosen.join(equal, ["class", "order", "row"]).select("order", "row", "copies"), "chosen"
     )
-    keyed = docs.withColumns({
-        "__order": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__row": whole,
-    })
-    kept = keyed.join(chosen, ["__order", "__row"])
-    if chosen.where("__copies > 1").isEmpty():
-        return kept.select(*[F.col(f"`{c}`") for c in columns])
-    several = kept.where("__copies > 1").dropDuplicates(["__order", "__row"])
-    return (
-        kept.where("__copies = 1").unionByName(several)
-        .select(*[F.col(f"`{c}`") for c in columns])
+    # The columns of a row travel as one, so none of theirs can meet a working column.
+    packed = docs.select(
+        first.alias("order"), whole.alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole"),
     )
+    kept = packed.join(chosen, ["order", "row"])
+    if not chosen.where("copies > 1").isEmpty():
+        several = kept.where("copies > 1").dropDuplicates(["order", "row"])
+        kept = kept.where("copies = 1").unionByName(several)
+    return kept.select(*[F.col("whole").getField(c).alias(c) for c in columns])

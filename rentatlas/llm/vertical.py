@@ -32,14 +32,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rentatlas.llm.common import arrow_map, blocks, stage, text_of
+from rentatlas.llm.common import arrow_map, blocks, counter_table, stage, text_of
 from rentatlas.llm.minhash import components, mixed
 
 SHINGLE = 4
 PERCENT = 85
 COUNTER_BITS = 22
-#: Counters sent in one row, as a power of two.
-SLICE_BITS = 16
 FRAGMENTS = 8
 #: Sets and shingles that a block of a home holds about.
 BLOCK_SETS = 1_024
@@ -98,46 +96,14 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_table(texts: DataFrame) -> np.ndarray:
-    """How many shingles of all texts fall on each counter."""
-    import zstandard
+    """How many texts have shingles on each counter."""
 
-    size = 1 << SLICE_BITS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        table = np.zeros(1 << COUNTER_BITS, np.int64)
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for part in parts(batches):
             for found in shingle_hashes(part.column("text")):
-                # Shingles of a text that share a counter count once, so the table's sum is a bit low.
-                table[(found >> U(64 - COUNTER_BITS)).astype(np.int64)] += 1
-        used = [k for k in range(len(table) // size) if table[k * size : (k + 1) * size].any()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(used, pa.int32()),
-                pa.array([pack(table[k * size : (k + 1) * size].tobytes()) for k in used], pa.binary()),
-            ],
-            ["slice", "counts"],
-        )
-
-    def added(rows: pa.Table) -> pa.Table:
-        total = np.zeros(size, np.int64)
-        for data in rows["counts"].to_pylist():
-            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int64)
-        packed = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
-        return pa.table({
-            "slice": rows["slice"].slice(0, 1), "counts": pa.array([packed], pa.binary()),
-        })
-
-    sums = arrow_map(texts, lambda: run, "slice int, counts binary").groupBy("slice").applyInArrow(
-        added, "slice int, counts binary"
-    )
-    table = np.zeros(1 << COUNTER_BITS, np.int64)
-    held = sums.toArrow()  # at most 2 ** COUNTER_BITS counters, whatever the corpus
-    for k, data in zip(held["slice"].to_pylist(), held["counts"].to_pylist(), strict=True):
-        table[k * size : (k + 1) * size] = np.frombuffer(
-            zstandard.ZstdDecompressor().decompress(data), np.int64
-        )
-    return table
+                yield (found >> U(64 - COUNTER_BITS)).astype(np.int64)
+
+    return counter_table(texts, COUNTER_BITS, places)
 
 
 def classes_of(table: np.ndarray) -> np.ndarray:

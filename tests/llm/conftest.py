@@ -11,7 +11,8 @@ def documents(spark):
         full = [(i, t, "en", "s", None if t is None else len(t)) for i, t in rows]
         df = spark.createDataFrame(full, DOCS)
         if clash:
-            for name in ("piece", "score", "bucket", "id", "class", "row", "hits", "row_key"):
+            for name in ("piece", "score", "bucket", "id", "class", "row", "hits", "row_key", "__row",
+                         "__order", "__copies", "order", "copies", "whole", "head", "shingle"):
                 df = df.selectExpr("*", f"'kept' as `{name}`")
         return df
 

@@ -99,7 +99,7 @@ def test_large_groups_compared_in_blocks(spark, documents, monkeypatch):
 
 
 def test_frequent_shingles_are_counted_exactly(spark, documents, monkeypatch):
-    monkeypatch.setattr(minhash, "COUNT_AT_ONCE", 500)
+    monkeypatch.setattr(minhash, "COUNTER_BITS", 17)
     rng = random.Random(5)
     shared = [prose(rng, 5) for _ in range(20)]
     rows = []
@@ -109,7 +109,12 @@ def test_frequent_shingles_are_counted_exactly(spark, documents, monkeypatch):
             if i % (k + 2) == 0:
                 w += s
         rows.append((i, " ".join(w)))
-    got, counts, total = minhash.frequent_shingles(documents(rows).repartition(9), share=0.05)
+    found = [
+        minhash.frequent_shingles(documents(rows).repartition(n), share=0.05) for n in (1, 32, 211)
+    ]
+    for other in found[1:]:
+        assert [x.tolist() for x in other[:2]] == [x.tolist() for x in found[0][:2]]
+    got, counts, total = found[0]
     seen = Counter()
     for _, t in rows:
         seen.update(set(minhash.shingled(pa.array([t])).shingle.tolist()))
@@ -193,3 +198,10 @@ def test_hot_copies(spark, documents):
     rows += [(9000 + i, f"another text number {i} that is not like the others at all {i}")
              for i in range(50)]
     assert minhash.drop_near_duplicates(documents(rows)).count() == 51
+
+
+def test_columns_named_like_work_columns_stay(spark, documents):
+    df = documents([(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words here")], clash=True)
+    kept = minhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in df.where("doc_id <> 2").collect()}
