@@ -515,7 +515,7 @@ def test_a_stopped_run_leaves_the_old_period_whole(spark, inputs, tmp_path, monk
     assert tables_of(out, "2021-01") == before
     # It stopped behind the switch: the next reader finishes it.
     done = published(spark, out, "2021-01")
-    assert done["tables"]["units"] == len(read_back(f"{out}/period=2021-01/product=units")) == 4
+    assert done["tables"]["units"] == len(read_back(f"{out}/period=2021-01/product=units")) == 2
     assert os.listdir(f"{out}/_attempts/2021-01") == []
 
 
