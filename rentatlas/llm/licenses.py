@@ -65,13 +65,14 @@ SENTENCES = [
 ]
 
 # A sentence ends at a blank line, be it in a comment, and behind its mark; not behind an initial or
-# a short form such as "v." or "Inc.", nor where the text goes on with a small letter.
+# a short form such as "v." or "Inc.", nor where the text goes on with a small letter. A run of marks
+# is tried once, from its first mark and as a whole, so long runs take no more than their length.
 SENTENCE_CUT = (
-    r"(?<!\b(?i:[a-z]|inc|ltd|llc|corp|co|ver|vers))[.!?]+(?=\s)(?![\s*#/;%|-]*[a-z])"
+    r"(?<![.!?])(?<!\b(?i:[a-z]|inc|ltd|llc|corp|co|ver|vers))[.!?]++(?=\s)(?![\s*#/;%|-]*+[a-z])"
     r"|(?:\r\n|\r(?!\n)|\n)[ \t*#/;%|-]*(?=[\r\n])"
 )
 # Places within a sentence that end a line or a clause: phrases run over them, "^" and "$" hold there.
-SOFT_END = r"[.!?;:]+[ \t\r]+|[\r\n]+"
+SOFT_END = r"(?<![.!?;:])[.!?;:]++[ \t\r]+|[\r\n]+"
 # The stems as they look across wrapped lines and comment marks.
 WRAPPED_STEMS = (
     r"(?i)licen[cs]|copyright|permission|redistribut|public\W+domain|creative\W+commons|spdx"
@@ -79,18 +80,28 @@ WRAPPED_STEMS = (
     r"|neither\W+the\W+name\W+of"
 )
 
+
+
+def spanning(opening: str, closing: str) -> str:
+    """From the last opening before a closing to that closing, whatever stands between them.
+
+    A search ends at the next opening, so many openings without a closing are still read once.
+    """
+    return f"{opening}(?:(?!{opening}).)*?{closing}"
+
+
 # Wordings of the published texts beside the one-line forms of ``SENTENCES``.
 _FSF = "( as published by the free software foundation)?( either)? version"
 PUBLISHED = {
     "ApacheNotice-2.0":
         "licensed under the apache license version 2 0|apache license version 2 0 january 2004",
-    "AsIs": "software is provided( by .*?)? as is",
+    "AsIs": "software is provided as is|" + spanning("software is provided by ", " as is"),
     "LGPLNotice-3.0": f"gnu lesser general public license{_FSF} 3",
     "LGPLNotice-2.1": f"gnu lesser general public license{_FSF} 2 1",
     "AGPLNotice-3.0": f"gnu affero general public license{_FSF} 3",
     "GPLNotice-3.0": f"gnu general public license{_FSF} 3|version 3 of the gnu general public license",
     "GPLNotice-2.0": f"gnu general public license{_FSF} 2|version 2 of the gnu general public license",
-    "BSDName": "neither the name of .*? may be used to endorse",
+    "BSDName": spanning("neither the name of ", " may be used to endorse"),
 }
 # The patterns over lines: a space stands for a space or a line end.
 PHRASES = [

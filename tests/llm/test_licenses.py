@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from compare import connect, differences
 from llm.conftest import ODD_TEXTS
@@ -179,3 +181,26 @@ def test_published_texts(spark, documents):
     for i, (licence, sentences, text) in enumerate(PUBLISHED):
         assert set(got[i].licences.split(",")) == set(licence.split(",")), text
         assert got[i].sentences == sentences and got[i].n_sentences == len(sentences.split(";"))
+
+
+@pytest.mark.parametrize("text", [
+    "licence " + "." * 1_000_000,
+    "licence " + "?;:!." * 200_000,
+    "licence " + '"' * 1_000_000,
+    "software is provided by us " * 37_000,
+    "neither the name of us " * 43_000,
+    "licence.\n * " * 80_000,
+    "licence" + " " * 1_000_000 + "x",
+], ids=["stops", "marks", "quotes", "as is", "names", "comments", "spaces"])
+def test_long_texts_take_time_in_proportion(spark, documents, text):
+    licenses.scan(documents([(1, "licence")])).collect()
+    began = time.monotonic()
+    row = licenses.scan(documents([(1, text)])).collect()[0]
+    assert row.licences == [] and time.monotonic() - began < 10
+
+
+def test_a_phrase_reaches_from_its_last_opening(spark, documents):
+    text = "This software is provided by A. The software is provided by B and others \"as is\" here."
+    far = "Neither the name of " + "somebody else " * 20_000 + "may be used to endorse products"
+    found = licenses.scan(documents([(1, text), (2, far)])).collect()
+    assert {r.doc_id: r.sentences for r in found} == {1: ["AsIs"], 2: ["BSDName"]}
