@@ -176,7 +176,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """``row_key, places``: the chunks of a text that other texts hold, with who keeps them.
 
     Smallest and largest key of a digest are partial aggregates; the join back can split a digest
-    that very many texts share. Only the chunks of one text are gathered in one row.
+    that very many texts share. Only the chunks of one text are gathered in one row; equal rows
+    have the same hits, which the set holds once.
     """
     chunks = chunk_rows(docs)
     shared = (
@@ -190,7 +191,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         F.struct("place", (F.col("row_key") == F.col("keeper")).alias("kept"),
                  F.substring("digest", 1, 8).alias("check")).alias("hit"),
     )
-    return hits.groupBy("row_key").agg(F.collect_list("hit").alias("hits"))
+    return hits.groupBy("row_key").agg(F.collect_set("hit").alias("hits"))
 
 
 def runs(
@@ -293,7 +294,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     out[columns.index("n_chars")] = pa.array(n, fields["n_chars"].type)
                 yield pa.RecordBatch.from_arrays(out, names=columns)
 
-    return _with_hits(docs).select("row", "hits").mapInArrow(run, schema)
+    return arrow_map(_with_hits(docs).select("row", "hits"), lambda: run, schema)
 
 
 RESULT = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rentatlas.session import shared_dir
 
@@ -56,11 +58,24 @@ def blocks(
             yield batch.slice(start)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
-    """``mapInArrow`` over a function that ``make`` builds inside each task."""
+def give_back() -> None:
+    """Memory that is free within this worker goes back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def arrow_map(
+    df: DataFrame, make: Callable[[], Callable], schema: str | StructType
+) -> DataFrame:
+    """``mapInArrow`` over a function that ``make`` builds inside each task and that ends with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from make()(batches)
+        try:
+            yield from make()(batches)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 

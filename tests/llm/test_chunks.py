@@ -167,3 +167,14 @@ def test_short_repeats_without_white_space_stay(spark, documents):
     rows = [(i, unspaced(rng, letters, 500) + shared + unspaced(rng, letters, 500))
             for i in range(5)]
     assert all(r.n_dropped == 0 for r in chunks.find_repeats(documents(rows)).collect())
+
+
+def test_equal_rows_share_their_hits(spark, documents):
+    text = words(random.Random(21), 300)
+    docs = documents([(1, text)] * 5000 + [(2, text)])
+    hits = chunks.repeated_chunks(docs).select(F.size("hits").alias("n")).collect()
+    n = len(chunks.cut([text]).start)
+    assert [r.n for r in hits] == [n, n]
+    out = chunks.find_repeats(docs).groupBy("doc_id", "n_dropped", "text").count().collect()
+    assert sorted((r.doc_id, r["count"]) for r in out) == [(1, 5000), (2, 1)]
+    assert sorted(r.text for r in out) == ["", text]
