@@ -25,8 +25,14 @@ from rentatlas.llm.common import arrow_map, blocks, stage, text_of
 CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Parts and words that a worker remembers in each of two generations.
-CACHE_ENTRIES = 80_000
+#: Bytes, as they lie in memory, of the parts (or words) that a worker remembers in each of two generations.
+CACHE_BYTES = 16_000_000
+#: Longer parts and words, such as encoded data, are not remembered.
+LONGEST_REMEMBERED = 64
+#: About what a dictionary entry takes beside the characters and the ids.
+ENTRY_BYTES = 200
+#: Texts encoded at a time, in bytes: the arrays of a block are about forty times as long.
+ENCODED_BYTES = 1_000_000
 #: Salts that one length is spread over while its pieces are numbered.
 SALTS = 32
 
@@ -43,27 +49,33 @@ PIECES = (
 
 
 class Generations:
-    """A dictionary of bounded size that forgets what was not asked for since it last filled."""
+    """A dictionary of bounded bytes that forgets what was not asked for since it last filled."""
 
-    def __init__(self, entries: int):
-        self.entries = entries
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def get(self, key: str) -> bytes | None:
         found = self.young.get(key)
         if found is None:
             found = self.old.get(key)
             if found is not None:
-                self.young[key] = found
+                self.put(key, found)
         return found
 
     def put(self, key: str, value: bytes) -> None:
+        """Remembers a key that ``get`` did not find, unless it is long."""
+        if len(key) > LONGEST_REMEMBERED:
+            return
+        if self.held > self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
         self.young[key] = value
-
-    def tidy(self) -> None:
-        if len(self.young) > self.entries:
-            self.old, self.young = self.young, {}
+        self.held += ENTRY_BYTES + len(key) + len(value)
 
 
 def visible_bytes() -> dict[int, int]:
@@ -82,7 +94,7 @@ class CachedEncoder:
     of spaces, or that contain an added token, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
         import json
 
         import regex
@@ -105,14 +117,19 @@ class CachedEncoder:
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.size[i] = len(token)
-        self.parts = Generations(entries)
-        self.words = Generations(entries)
+        self.parts = Generations(limit)
+        self.words = Generations(limit)
+
+    def forget(self) -> None:
+        self.parts.clear()
+        self.words.clear()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that were not remembered."""
         split = []
         for part in parts:
             word = part.rstrip(MARKS)
@@ -138,15 +155,15 @@ class CachedEncoder:
                 known[word] = data[at:end]
                 self.words.put(word, data[at:end])
                 at = end
-        for part, words in zip(parts, split, strict=True):
-            self.parts.put(part, b"".join([known[w] for w in words]))
+        made = [b"".join([known[w] for w in words]) for words in split]
+        for part, ids in zip(parts, made, strict=True):
+            self.parts.put(part, ids)
+        return made
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if not self.cuttable or not len(texts):
             return self._whole(texts.to_pylist())
-        self.parts.tidy()
-        self.words.tidy()
         cut = pc.split_pattern(texts, " ")
         coded = cut.flatten().dictionary_encode()
         bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
@@ -166,9 +183,8 @@ class CachedEncoder:
         for i in needed:
             found[i] = self.parts.get(different[i])
         new = [i for i in needed if found[i] is None]
-        self._learn([different[i] for i in new])
-        for i in new:
-            found[i] = self.parts.young[different[i]]
+        for i, made in zip(new, self._learn([different[i] for i in new]), strict=True):
+            found[i] = made
         ids = np.frombuffer(b"".join(found), "<u4")
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         first = np.cumsum(size) - size
@@ -231,7 +247,7 @@ def token_pieces(
         encode = encoder(path)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in blocks(batches):
+            for batch in blocks(batches, limit=ENCODED_BYTES):
                 doc_ids = batch.column("doc_id").to_pylist()
                 out: list[list] = [[] for _ in schema]
                 for doc_id, ids in zip(doc_ids, encode(batch.column("text")), strict=True):

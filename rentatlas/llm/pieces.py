@@ -31,8 +31,8 @@ from rentatlas.llm.packing import Generations
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Words that a worker remembers in each of two generations.
-CACHE_ENTRIES = 120_000
+#: Bytes, as they lie in memory, of the words that a worker remembers in each of two generations.
+CACHE_BYTES = 32_000_000
 
 # Field numbers and codes of the published model format.
 UNIGRAM, PAIRS = 1, 2
@@ -162,7 +162,7 @@ def rebuild(model: Model):
 class Codec:
     """Encodes and decodes whole texts; see the module for what it remembers."""
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
         with open(path, "rb") as file:
             self.model = read_model(file.read())
         self.tokenizer, self.words_only = rebuild(self.model)
@@ -182,13 +182,14 @@ class Codec:
              for p, k in zip(self.model.pieces, self.model.kinds, strict=True)]
         )
         self.is_byte = np.array([k == BYTE for k in self.model.kinds])
-        self.words = Generations(entries)
+        self.words = Generations(limit)
 
     def encode_whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4") for e in found]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words that were not remembered."""
         marked = [MARK + w for w in words]
         made = self.words_only.encode_batch_fast(
             [marked], is_pretokenized=True, add_special_tokens=False
@@ -197,15 +198,17 @@ class Codec:
         data, at = ids.tobytes(), 0
         ends = np.cumsum(np.fromiter((len(m.encode()) for m in marked), np.int64, len(marked)))
         ends = 4 * (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1)
+        found = []
         for word, end in zip(words, ends.tolist(), strict=True):
-            self.words.put(word, data[at:end])
+            found.append(data[at:end])
+            self.words.put(word, found[-1])
             at = end
+        return found
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, little-endian 32 bits."""
         if not self.by_word or not len(texts):
             return self.encode_whole(texts.to_pylist())
-        self.words.tidy()
         cut = pc.split_pattern(texts, " ")
         coded = cut.flatten().dictionary_encode()
         different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -223,9 +226,8 @@ class Codec:
             found[i] = self.words.get(different[i])
         new = [i for i in needed if found[i] is None]
         if new:
-            self._learn([different[i] for i in new])
-        for i in new:
-            found[i] = self.words.young[different[i]]
+            for i, made in zip(new, self._learn([different[i] for i in new]), strict=True):
+                found[i] = made
         ids = np.frombuffer(b"".join(found), "<u4")
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         first = np.cumsum(size) - size

@@ -7,7 +7,8 @@ matter only together need no weight of their own, so no term is left out for tel
 model is fitted on a bounded sample of labelled rows, in one task. It has the rows that the sample
 uses, at most ``TERMS``: below 50 megabytes whatever the corpus.
 
-Defined results: a missing text scores as an empty one; repeated rows repeat their score; an empty
+Defined results: a missing text scores as an empty one; repeated rows repeat their score, and of the
+rows of a labelled id one is learned from, that with the smallest hash of its text; an empty
 table yields no rows; without a positive and a negative label every score is the share of positive
 ones (0 without labels); texts of any length are read whole; further columns are ignored.
 """
@@ -23,12 +24,11 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentatlas.llm.common import arrow_map, blocks, text_of
+from rentatlas.llm.common import arrow_map, blocks, give_back, text_of
 from rentatlas.llm.labelled import SAMPLE_ROWS, is_held_out, training_rows
 
 THRESHOLD = 0.3
@@ -46,8 +46,9 @@ RATE = (0.05, 0.005)
 #: A weight needs a mean slope beyond this: about half a text of a batch.
 L1 = np.float32(1e-3)
 DECAY = (np.float32(1e-4), np.float32(1e-3))
-#: Words a worker remembers the terms of.
-CACHED_WORDS = 150_000
+#: Words a worker remembers the terms of, none of them longer than ``LONGEST_REMEMBERED``.
+CACHED_WORDS = 100_000
+LONGEST_REMEMBERED = 64
 
 
 def word_terms(word: str) -> tuple[int, ...]:
@@ -68,7 +69,9 @@ def text_terms(text: str, known: dict[str, tuple[int, ...]] | None = None) -> np
     for word in words:
         found = known.get(word)
         if found is None:
-            found = known[word] = word_terms(word)
+            found = word_terms(word)
+            if len(word) <= LONGEST_REMEMBERED:
+                known[word] = found
         terms.append(found)
     sizes = np.fromiter(map(len, terms), np.int64, len(terms))
     each = np.fromiter(chain.from_iterable(terms), np.int64, int(sizes.sum()))
@@ -120,13 +123,17 @@ def constant(share: float) -> Machine:
 
 def rows_of(docs: list[np.ndarray], terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The used rows of the table; places in them, text by text; and where each text begins."""
-    folded = [np.unique(found % terms) for found in docs]
     used = np.zeros(terms, bool)
-    for found in folded:
+    if terms < TERMS:
+        docs = [np.unique(found % terms) for found in docs]
+    for found in docs:
         used[found] = True
     place = np.cumsum(used, dtype=np.int32) - 1
-    starts = np.concatenate([[0], np.cumsum([len(f) for f in folded], dtype=np.int64)])
-    return np.flatnonzero(used), place[np.concatenate(folded)], starts
+    starts = np.concatenate([[0], np.cumsum([len(f) for f in docs], dtype=np.int64)])
+    places = np.empty(starts[-1], np.int32)
+    for found, a, b in zip(docs, starts.tolist(), starts[1:].tolist(), strict=False):
+        places[a:b] = place[found]
+    return np.flatnonzero(used), places, starts
 
 
 def fit(
@@ -199,17 +206,44 @@ def fit(
     return Machine(used, float(bias[0] - usual @ held[0]), held[0], np.stack(held[1:], 1))
 
 
+def sample_terms(sample: DataFrame) -> DataFrame:
+    """``doc_id, key, label, terms`` of labelled texts, one row for each id: the smallest key's.
+
+    Terms are made where the texts are, so the fitting task receives numbers and no text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, ...]] = {}
+        for batch in blocks(batches):
+            found = [
+                text_terms(t, known).astype("<i4").tobytes()
+                for t in batch.column("text").to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("key"), batch.column("label"),
+                 pa.array(found, pa.binary())],
+                names=["doc_id", "key", "label", "terms"],
+            )
+
+    keyed = sample.select("doc_id", F.xxhash64("text").alias("key"), "label", "text")
+    rows = arrow_map(keyed, lambda: run, "doc_id long, key long, label int, terms binary")
+    one = F.min(F.struct("key", "label", "terms")).alias("one")
+    return rows.groupBy("doc_id").agg(one).select("doc_id", "one.*")
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine:
     """Fit on the bounded sample in one task; only the model comes to the driver."""
 
-    def fit_all(sample: pd.DataFrame) -> pd.DataFrame:
-        sample = sample.sort_values(["doc_id", "text"])
-        known: dict[str, tuple[int, ...]] = {}
-        found = [text_terms(t, known) for t in sample["text"]]
-        return pd.DataFrame({"model": [fit(found, sample["label"].to_numpy()).dump()]})
+    def fit_all(sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by([("doc_id", "ascending"), ("key", "ascending")])
+        found = [np.frombuffer(t.as_buffer(), "<i4") for t in sample["terms"]]
+        made = fit(found, sample["label"].to_numpy()).dump()
+        del found, sample
+        give_back()
+        return pa.table({"model": pa.array([made], pa.binary())})
 
-    sample = training_rows(docs, labels, "toxic", rows).withColumn("all", F.lit(0))
-    made = sample.groupBy("all").applyInPandas(fit_all, "model binary").collect()
+    sample = sample_terms(training_rows(docs, labels, "toxic", rows)).withColumn("all", F.lit(0))
+    made = sample.groupBy("all").applyInArrow(fit_all, "model binary").collect()
     return Machine.load(bytes(made[0].model)) if made else constant(0.0)
 
 
@@ -264,4 +298,4 @@ def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD)
             keep = [scorer(t or "") < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, lambda: run, docs.schema)

@@ -23,7 +23,7 @@ def test_remembered_parts_give_the_ids_of_whole_texts(tokenizer):
     bits = ["a", "bc", "é", " ", "  ", "\n", "\n\n", ".", ",", "!!", "'s", "'", "1", "22", " the",
             "\t", "日", "<|endoftext|>", "%%%", "_", " ", "ll"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(6000)]
-    encode = packing.CachedEncoder(PATH, entries=50)
+    encode = packing.CachedEncoder(PATH, limit=10_000)
     for at in range(0, len(texts), 700):
         some = texts[at : at + 700]
         whole = [e.ids for e in tokenizer.encode_batch(some, add_special_tokens=False)]
@@ -90,3 +90,15 @@ def test_hot_length_and_empty_table(spark, documents):
     total = sum(r.length for r in rows)
     assert len({r.sequence_id for r in rows}) == -(-total // 1024)
     assert packing.pack_documents(documents([])).collect() == []
+
+
+def test_memories_are_bounded_by_bytes(tokenizer):
+    encode = packing.CachedEncoder(PATH, limit=100_000)
+    texts = [f"x {'ab' * 1000}{i} short{i}" for i in range(2_000)]
+    found = encode(pa.array(texts))
+    whole = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [w.ids for w in whole]
+    for memory in (encode.parts, encode.words):
+        held = [*memory.young.items(), *memory.old.items()]
+        assert all(len(k) <= packing.LONGEST_REMEMBERED for k, _ in held)
+        assert sum(packing.ENTRY_BYTES + len(k) + len(v) for k, v in held) < 210_000

@@ -21,7 +21,7 @@ def test_parity_with_the_original_library():
 
 
 def test_whole_texts_and_remembered_words_agree():
-    own = pieces.Codec(PATH, entries=20)
+    own = pieces.Codec(PATH, limit=4_000)
     texts = ["some words and some more words", "words", "a  b", ""] * 50
     for at in range(0, 200, 30):
         some = texts[at : at + 30]
