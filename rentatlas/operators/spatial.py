@@ -2,7 +2,8 @@
 
 Polygons are cut into the cells they touch, one row per polygon and cell. Each row keeps only the
 edges that matter to points inside its cell, and a cell no edge reaches is known to be covered as a
-whole. The different coordinates of the points meet the rows of their own cell by an equi-join, and
+whole. A cell that still holds many edges is divided further, so a coastline of any length costs a point no more
+than a short ring. The different coordinates of the points meet the rows of their own cell by an equi-join, and
 the points take what was found for their coordinates by another one. Nothing is gathered per cell, so
 stacked polygons and crowded places stay rows that the adaptive join can split.
 """
@@ -10,8 +11,8 @@ stacked polygons and crowded places stay rows that the adaptive join can split.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,10 @@ from rentatlas.functions.numbers import null_if_nan
 from rentatlas.operators.columns import assert_columns
 
 MAX_CELLS_PER_SIDE = 64
+#: A cell with more edges is divided into ``SPLIT`` by ``SPLIT``, at most ``LEVELS`` times.
+MOST_EDGES = 64
+SPLIT = 8
+LEVELS = 6
 BROADCAST_BYTES = 32 << 20
 EDGE_BYTES = 48
 CELL_BYTES = 256
@@ -29,15 +34,30 @@ WORK_COLUMNS = ["px", "py", "point_salt", "hit_x", "hit_y", "hit_salt", "hit"]
 
 @dataclass(frozen=True)
 class Grid:
-    """Cell size (a power of two, so cell arithmetic is exact), tiers and index size bound."""
+    """Cell size (a power of two, so cell arithmetic is exact), tiers and index size bound.
+
+    ``levels`` tells how often crowded cells are divided, ``sizes`` which cell sizes an index has.
+    """
 
     cell: float
     tiers: int = 1
     index_bytes: int | None = None
+    levels: int = 0
+    sizes: tuple[float, ...] | None = None
 
     def tier_cell(self, tier: int) -> float:
         return self.cell * float(MAX_CELLS_PER_SIDE) ** tier
 
+    @property
+    def cell_sizes(self) -> tuple[float, ...]:
+        """Sizes of the cells in which a point may find a polygon."""
+        if self.sizes is not None:
+            return self.sizes
+        return tuple(
+            self.tier_cell(k) / float(SPLIT) ** n
+            for k in range(self.tiers) for n in range(self.levels + 1)
+        )
+
     @property
     def fits_broadcast(self) -> bool:
         return self.index_bytes is not None and self.index_bytes <= BROADCAST_BYTES
@@ -52,6 +72,7 @@ class SizeClass:
     edges: int
     climb: float
     attr_bytes: int = 0
+    most_edges: int = 0
 
 
 def add_state_plane(df: DataFrame, xy: tuple[str, str] = ("longitude", "latitude")) -> DataFrame:
@@ -131,12 +152,14 @@ def layer_profile(polygons: DataFrame) -> list[SizeClass]:
                 climb.alias("climb"), attrs.alias("attr_bytes"))
         .groupBy("k")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("edges").alias("edges"),
-             F.sum("climb").alias("climb"), F.max("attr_bytes").alias("attr_bytes"))
+             F.sum("climb").alias("climb"), F.max("attr_bytes").alias("attr_bytes"),
+             F.max("edges").alias("most"))
         .orderBy("k")
         .collect()
     )
     return [
-        SizeClass(2.0 ** r["k"], r["n"], r["edges"], r["climb"], r["attr_bytes"]) for r in rows
+        SizeClass(2.0 ** r["k"], r["n"], r["edges"], r["climb"], r["attr_bytes"], r["most"])
+        for r in rows
     ]
 
 
@@ -180,7 +203,12 @@ def _bounded(profile: Sequence[SizeClass], cell: float) -> Grid:
         # Every edge is kept in the rows of cells it spans, at most once per cell of the row.
         total += c.n * across**2 * (CELL_BYTES + c.attr_bytes)
         total += (c.climb / size + 2 * c.edges) * across * EDGE_BYTES
-    return Grid(cell, tiers, int(total))
+    most = max(c.most_edges for c in profile)
+    levels = 0
+    if most > MOST_EDGES:
+        # So many that the longest ring, all in one cell, leaves a quarter of ``MOST_EDGES`` in each.
+        levels = min(LEVELS, math.ceil(math.log(4 * most / MOST_EDGES, SPLIT)))
+    return Grid(cell, tiers, int(total), levels)
 
 
 @dataclass(frozen=True)
@@ -198,39 +226,139 @@ class PolygonIndex:
 
 def index_polygons(
     polygons: DataFrame, attrs: Sequence[str], grid: Grid | None = None,
-    last_only: bool = False,
+    last_only: bool = False, stage: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> PolygonIndex:
-    """The index of a layer; ``last_only`` leaves out polygons that are never a ``last`` match."""
+    """The index of a layer; ``last_only`` leaves out polygons that are never a ``last`` match.
+
+    ``stage`` may write the cells and give them back. Where cells were divided, one aggregate over
+    them measures the index and finds the cell sizes it has.
+    """
     layer = polygon_layer(polygons, attrs)
     grid = grid or plan_grid(layer)
     if last_only:
         layer = last_of_same_rings(layer, attrs)
-    return PolygonIndex(grid_rows(layer, grid, attrs), grid, tuple(attrs))
+    rows = stage(grid_rows(layer, grid, attrs))
+    return PolygonIndex(rows, measured(rows, grid) if grid.levels else grid, tuple(attrs))
 
 
-def grid_rows(polygons: DataFrame, grid: Grid, attrs: Sequence[str]) -> DataFrame:
-    """One row per polygon and cell it reaches into, over all tiers."""
-    c = F.col("cell")
-    edged = _with_edges(polygons).withColumn("cell", _cell_size(grid))
-    low, right, left = F.col("cy") * c, (F.col("cx") + 1) * c, F.col("cx") * c
+def measured(rows: DataFrame, grid: Grid) -> Grid:
+    """The grid with the bytes and the cell sizes of its rows, of which there are few."""
+    size = F.lit(CELL_BYTES) + F.greatest(F.size("edges"), F.lit(0)) * EDGE_BYTES
+    for c in rows.columns:
+        if c not in ("cell", "cx", "cy", "poly_idx", "edges"):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0))
+    found = rows.groupBy("cell").agg(F.sum(size.cast("bigint")).alias("bytes")).collect()
+    sizes = tuple(sorted((r["cell"] for r in found), reverse=True))
+    return replace(grid, index_bytes=sum(r["bytes"] for r in found), sizes=sizes or (grid.cell,))
 
-    def in_row(e: Column) -> Column:
-        return (e["y2"] >= low) & (e["y1"] <= low + c)
 
+def grid_rows(polygons: DataFrame, grid: Grid, attrs: Sequence[str]) -> DataFrame:
+    """One row per polygon and cell it reaches into, over all tiers and levels."""
+    edged = _with_edges(polygons).withColumn("cell", _cell_size(grid))
+    kept = ["cell", "cx", "cy", "poly_idx", *[a for a in attrs if a != "poly_idx"], "edges"]
+    c = F.col("cell")
     rows = edged.withColumn("cy", F.explode(_cells("y0", "y1", c))).withColumn(
-        "edges", F.filter("edges", in_row)
+        "edges", F.filter("edges", _in_row)
     )
     cells = rows.withColumn("cx", F.explode(_cells("x0", "x1", c))).withColumn(
-        "edges", F.filter("edges", lambda e: F.greatest(e["x1"], e["x2"]) >= left)
-    )
-    cut = F.exists("edges", lambda e: F.least(e["x1"], e["x2"]) <= right)
-    centre = F.pmod(crossings(left + c / 2, low + c / 2, F.col("edges")), F.lit(2)) == 1
-    known = cells.withColumn("cut", cut).where(F.col("cut") | centre)
-    # A cell that is covered as a whole keeps no edges.
-    return known.select(
-        "cell", "cx", "cy", "poly_idx", *[a for a in attrs if a != "poly_idx"],
-        F.when(F.col("cut"), F.col("edges")).alias("edges"),
+        "edges", F.filter("edges", _not_left)
     )
+    known = _known()
+    cells = cells.withColumn("fresh", F.lit(True)).withColumn("edges", known).select(*kept)
+    steps = [*_division(), ("edges", known)] if grid.levels else []
+    for _ in range(grid.levels):
+        for name, column in steps:
+            cells = cells.withColumn(name, column)
+        cells = cells.select(*kept)
+    return cells
+
+
+def _in_row(e: Column) -> Column:
+    c, low = F.col("cell"), F.col("cy") * F.col("cell")
+    return (e["y2"] >= low) & (e["y1"] <= low + c)
+
+
+def _not_left(e: Column) -> Column:
+    return F.greatest(e["x1"], e["x2"]) >= F.col("cx") * F.col("cell")
+
+
+def _division() -> list[tuple[str, Column]]:
+    """Steps that cut crowded cells into ``SPLIT`` by ``SPLIT`` smaller ones, marked ``fresh``.
+
+    The other cells stay as they are.
+    """
+    crowded = F.coalesce(F.size("edges") > MOST_EDGES, F.lit(False))
+    parts = F.when(F.col("fresh"), F.lit(SPLIT)).otherwise(F.lit(1))
+
+    def within(at: str) -> Column:
+        first = F.col(at) * parts
+        return F.explode(F.sequence(first, first + parts - 1))
+
+    def held(condition: Callable[[Column], Column]) -> Column:
+        return F.when(F.col("fresh"), F.filter("edges", condition)).otherwise(F.col("edges"))
+
+    return [
+        ("fresh", crowded), ("cell", F.col("cell") / parts),
+        ("cy", within("cy")), ("edges", held(_in_row)),
+        ("cx", within("cx")), ("edges", held(_not_left)),
+    ]
+
+
+def _known() -> Column:
+    """The edges that reach into a fresh cell; a cell no polygon covers gives no row.
+
+    A ray from inside a cell meets what lies right of it by height alone, and rings are closed, so edges
+    there that follow each other meet it like one. They become few upright edges, over the heights at
+    which a ray meets an odd number of them. A cell that is covered as a whole keeps no edges.
+    """
+    fresh, c = F.col("fresh"), F.col("cell")
+    left, right, low = F.col("cx") * c, (F.col("cx") + 1) * c, F.col("cy") * c
+
+    def beyond(e: Column) -> Column:
+        return F.least(e["x1"], e["x2"]) > right
+
+    ends = F.flatten(F.transform(
+        F.filter("edges", beyond),
+        lambda e: F.array(F.greatest(e["y1"], low), F.least(e["y2"], low + c)),
+    ))
+
+    def drawn(s: Column) -> Column:
+        x = right + c
+        upright = F.transform(
+            F.filter(s["turns"], lambda _, i: i % 2 == 0),
+            lambda y, i: F.struct(
+                x.alias("x1"), y.alias("y1"), x.alias("x2"),
+                F.get(s["turns"], 2 * i + 1).alias("y2"),
+            ),
+        )
+        return F.struct(
+            (F.size(s["near"]) > 0).alias("cut"), F.concat(s["near"], upright).alias("edges")
+        )
+
+    def reached(s: Column) -> Column:
+        inside = crossings(left + c / 2, low + c / 2, s["edges"])
+        return s["cut"] | (F.pmod(inside, F.lit(2)) == 1)
+
+    # Arrays of one element or none: each step is computed once, and the generator keeps the
+    # optimizer from repeating it in a filter.
+    near = F.filter("edges", lambda e: ~beyond(e))
+    cell = F.array(F.struct(near.alias("near"), odd_times(ends).alias("turns")))
+    cell = F.filter(F.transform(cell, drawn), reached)
+    cell = F.transform(cell, lambda s: F.when(s["cut"], s["edges"]))
+    same = F.array(F.col("edges"))
+    return F.explode(F.when(fresh, cell).otherwise(same))
+
+
+def odd_times(numbers: Column) -> Column:
+    """The values an array holds an odd number of times, in order."""
+
+    def step(found: Column, value: Column) -> Column:
+        again = F.get(found, F.size(found) - 1) == value
+        return F.when(again, F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(
+            F.concat(found, F.array(value))
+        )
+
+    return F.aggregate(F.sort_array(numbers), F.array().cast("array<double>"), step)
 
 
 def _cells(low: str, high: str, c: Column) -> Column:
@@ -324,7 +452,7 @@ def covering(
         F.col("cell").alias("index_cell"), F.col("cx").alias("index_x"),
         F.col("cy").alias("index_y"), F.struct("poly_idx", *rest).alias("hit"), "edges",
     )
-    sizes = [F.lit(index.grid.tier_cell(k)) for k in range(index.grid.tiers)]
+    sizes = [F.lit(size) for size in index.grid.cell_sizes]
     cells = places.withColumn("cell", F.explode(F.array(*sizes))).withColumns(
         {"cx": F.floor(F.col("px") / F.col("cell")), "cy": F.floor(F.col("py") / F.col("cell"))}
     )

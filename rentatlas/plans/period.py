@@ -72,9 +72,9 @@ def indexed(inputs: Inputs, staging: Staging | None = None) -> Inputs:
     def one(layer: DataFrame | PolygonIndex, attrs: list[str], name: str) -> PolygonIndex:
         if isinstance(layer, PolygonIndex):
             return layer
-        index = index_polygons(layer, attrs)
-        rows = staging.stage(index.rows, name) if staging else index.rows
-        return PolygonIndex(rows, index.grid, index.attrs)
+        if staging is None:
+            return index_polygons(layer, attrs)
+        return index_polygons(layer, attrs, stage=lambda rows: staging.stage(rows, name))
 
     return replace(
         inputs,

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from conftest import plan_text, values
 from pyspark.sql import functions as F
@@ -106,6 +107,76 @@ def test_agrees_with_brute_force_across_tiers(spark, strategy):
     }
 
 
+def inside(ring, x, y):
+    """Even-odd over one ring (an array), for points that lie on no edge."""
+    a, b = ring, np.roll(ring, -1, axis=0)
+    spans = (a[:, 1] <= y) != (b[:, 1] <= y)
+    a, b = a[spans], b[spans]
+    at = a[:, 0] + (y - a[:, 1]) / (b[:, 1] - a[:, 1]) * (b[:, 0] - a[:, 0])
+    return bool((at > x).sum() % 2)
+
+
+def test_long_rings_leave_few_edges_in_a_cell(spark):
+    """A coastline of 100,000 vertices beside small squares: cells are divided where it runs."""
+    rng = random.Random(3)
+    coast = []
+    for i in range(100_000):
+        angle = 2 * math.pi * i / 100_000
+        reach = 1000 + 80 * math.sin(9 * angle) + rng.uniform(0, 0.5)
+        coast.append((reach * math.cos(angle), reach * math.sin(angle)))
+    squares = [[(x, y), (x + 9, y), (x + 9, y + 9), (x, y + 9)]
+               for x in range(-1200, 1200, 100) for y in range(-1200, 1200, 100)]
+    polygons = layer(spark, [("coast", [coast]), *[(f"s{i}", [s]) for i, s in enumerate(squares)]])
+    index = spatial.index_polygons(polygons, ["name"])
+    rows = index.rows.cache()
+    most, cells = rows.agg(F.max(F.size("edges")), F.count("*")).first()
+    assert most <= spatial.MOST_EDGES and cells < 100_000
+    assert set(index.grid.sizes) == {r.cell for r in rows.select("cell").distinct().collect()}
+    spots = []
+    for i in range(600):
+        angle = rng.uniform(0, 2 * math.pi)
+        reach = (1000 + 80 * math.sin(9 * angle) + rng.uniform(-2, 2)) if i % 3 else rng.uniform(0, 1300)
+        spots.append((i, reach * math.cos(angle), reach * math.sin(angle)))
+    ring = np.array(coast)
+    expected = {(i, "coast") for i, x, y in spots if inside(ring, x, y)} | {
+        (i, f"s{k}") for i, x, y in spots for k, s in enumerate(squares)
+        if s[0][0] <= x <= s[1][0] and s[0][1] <= y <= s[2][1]
+    }
+    assert 200 < len(expected) < 560
+    for strategy in ("broadcast", "shuffle"):
+        found = spatial.attach_polygons(
+            points(spark, spots), spatial.PolygonIndex(rows, index.grid, index.attrs), ["name"], "all",
+            strategy=strategy,
+        )
+        assert {tuple(r) for r in found.where("name is not null").select("id", "name").collect()} == expected
+
+
+@pytest.mark.parametrize("levels", [0, 1, 3])
+def test_more_edges_at_one_corner_than_can_be_divided(spark, levels):
+    """A hundred needles meet in one vertex; whatever stays together is still tested right."""
+    needles = []
+    for i in range(100):
+        a, b = 2 * math.pi * i / 100, 2 * math.pi * (i + 0.5) / 100
+        needles += [(0.0, 0.0), (64 * math.cos(a), 64 * math.sin(a)),
+                    (64 * math.cos(b), 64 * math.sin(b))]
+    polygons = layer(spark, [("needles", [needles])])
+    grid = spatial.Grid(32.0, 1, 1 << 20, levels)
+    spots = [(0, 0.0, 0.0), (1, 0.0, 64.5)]
+    for i in range(2, 400):
+        angle = 2 * math.pi * (i % 100 + (0.25 if i < 200 else 0.75)) / 100
+        spots.append((i, i % 60 * math.cos(angle) + 1e-7, i % 60 * math.sin(angle)))
+    spots = [s for s in spots if s[0] < 2 or math.hypot(s[1], s[2]) > 1]
+    ring = np.array(needles)
+    expected = {i for i, x, y in spots[2:] if inside(ring, x, y)} | {0}
+    out = spatial.attach_polygons(points(spark, spots), polygons, ["name"], grid=grid)
+    assert {r.id for r in out.where("name is not null").collect()} == expected
+
+
+def test_odd_times(spark):
+    rows = spark.createDataFrame([([3.0, 1.0, 3.0, 2.0, 2.0, 2.0],), ([],), ([0.0, -0.0],)], "a array<double>")
+    assert values(rows.select(spatial.odd_times(F.col("a")))) == [([1.0, 2.0],), ([],), ([],)]
+
+
 def test_plan_is_an_equi_join_without_python(spark, town):
     pts = points(spark, POINTS)
     for strategy, join in (("broadcast", "BroadcastHashJoin"), ("shuffle", "SortMergeJoin")):
