@@ -10,6 +10,7 @@ packed as often as they occur; an empty table yields no rows; further columns ar
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -25,23 +26,27 @@ from rentatlas.llm.common import arrow_map, blocks, stage, text_of
 CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Bytes, as they lie in memory, of the parts (or words) that a worker remembers in each of two generations.
+#: Bytes, as they lie in memory, of the words that a worker remembers: those asked for since the memory last
+#: filled, and as much again of others.
 CACHE_BYTES = 16_000_000
-#: Longer parts and words, such as encoded data, are not remembered.
+#: Longer words, such as encoded data, are not remembered.
 LONGEST_REMEMBERED = 64
-#: About what a dictionary entry takes beside the characters and the ids.
+#: About what a dictionary entry takes beside the characters and the ids; more than one of a ``WordTable`` takes.
 ENTRY_BYTES = 200
 #: Texts encoded at a time, in bytes: the arrays of a block are about forty times as long.
 ENCODED_BYTES = 1_000_000
 #: Salts that one length is spread over while its pieces are numbered.
 SALTS = 32
 
-#: Marks that often follow a word.
-MARKS = ".,;:!?#*$%&|<>"
-# Fixed value: the published word pattern of byte-level vocabularies.
-BYTE_LEVEL_PATTERN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-)
+# The published word pattern of byte-level vocabularies,
+# 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
+LETTER, NUMBER, OTHER, SPACE, UNKNOWN = range(5)
+#: A character of each kind that the pattern joins with its like.
+SAMPLES = {LETTER: "a", NUMBER: "1", OTHER: "!"}
+BLANK, APOSTROPHE = ord(" "), ord("'")
+SHORT_ENDINGS = [ord(c) for c in "stmd"]
+BETWEEN_WORDS = re.compile(r"(?<=[!-~])[ \n](?=[!-~])")
+LONG_ENDINGS = [256 * ord(a) + ord(b) for a, b in ("re", "ve", "ll")]
 
 PIECES = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, row_key long"
@@ -85,126 +90,220 @@ def visible_bytes() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+class WordTable:
+    """Words with their ids in Arrow and numpy arrays of bounded bytes.
+
+    ``asked`` marks what was looked up since the table last filled; the rest goes when it fills again.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = pa.array([], pa.binary())
+        self.ids = np.zeros(0, np.uint32)
+        self.size = np.zeros(0, np.int64)
+        self.asked = np.zeros(0, bool)
+
+    def _items(self, chosen: np.ndarray) -> dict[str, bytes]:
+        ends = np.cumsum(self.size)
+        keys = self.keys.to_pylist()
+        return {
+            keys[i].decode(): self.ids[ends[i] - self.size[i] : ends[i]].tobytes()
+            for i in np.flatnonzero(chosen).tolist()
+        }
+
+    @property
+    def young(self) -> dict[str, bytes]:
+        return self._items(self.asked)
+
+    @property
+    def old(self) -> dict[str, bytes]:
+        return self._items(~self.asked)
+
+    def keep(self, keys: pa.Array, ids: np.ndarray, size: np.ndarray, asked: np.ndarray) -> None:
+        """Remembers the words, those not longer than ``LONGEST_REMEMBERED`` and within the limit."""
+        width = pc.binary_length(keys).to_numpy()
+        cost = ENTRY_BYTES + width + 4 * size
+        chosen = width <= LONGEST_REMEMBERED
+        wanted = chosen & asked
+        full = cost[wanted].sum() > self.limit
+        if full:  # words that have been asked for longest stand in front
+            chosen = wanted & (np.cumsum(cost * wanted) <= self.limit)
+        if not chosen.all():
+            keys = keys.filter(pa.array(chosen))
+            ids = ids[np.repeat(chosen, size)]
+            size, asked = size[chosen], asked[chosen]
+        self.keys, self.ids, self.size = keys, ids, size
+        self.asked = np.zeros(len(size), bool) if full else asked
+
+
+def windows(text: str, size: int = ENCODED_BYTES) -> Iterator[str]:
+    """A text in parts of about ``size`` characters, cut before a lone blank or line break."""
+    start = 0
+    while len(text) - start > size and (found := BETWEEN_WORDS.search(text, start + size)):
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:]
+
+
 class CachedEncoder:
-    """Token ids of whole texts, remembered by space-separated parts.
+    """Token ids of whole texts from the ids of their words.
 
-    A byte-level pattern never joins characters across a space that precedes a visible character,
-    so a text may be cut there without changing a single id. New parts are split by the same
-    pattern and each new word is encoded once by the tokenizer's own model. Texts with other runs
-    of spaces, or that contain an added token, go to the tokenizer whole.
+    A byte-level pattern cuts a text into words that never share a token. The texts of a block are
+    cut together, on arrays of their characters; each different word that is not remembered is
+    encoded once, by the tokenizer's own model. Which characters are letters, numbers or spaces is
+    asked of the tokenizer too. Texts that contain an added token go to the tokenizer whole.
     """
 
     def __init__(self, path: str, limit: int = CACHE_BYTES):
         import json
 
-        import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words_only = Tokenizer(self.tokenizer.model)
         config = json.loads(self.tokenizer.to_str())
         pre = config["pre_tokenizer"] or {}
+        alphabet = visible_bytes()
+        vocab = self.tokenizer.get_vocab()
         self.cuttable = (
             config["normalizer"] is None
             and pre.get("type") == "ByteLevel"
             and not pre.get("add_prefix_space")
             and pre.get("use_regex", True)
+            and all(chr(c) in vocab for c in alphabet.values())
         )
         self.added = [t["content"] for t in config["added_tokens"]]
-        self.split = regex.compile(BYTE_LEVEL_PATTERN).findall
-        self.alphabet = visible_bytes()
-        vocab = self.tokenizer.get_vocab()
+        # Words of a list are kept apart by a character that is none of the byte alphabet.
+        self.words_only = Tokenizer(self.tokenizer.model)
+        self.words_only.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.shown = np.array([alphabet[b] for b in range(256)], "<u2")
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.size[i] = len(token)
-        self.parts = Generations(limit)
-        self.words = Generations(limit)
+        self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
+        self.words = WordTable(limit)
+        self.parts = self.words  # there is no other memory
 
     def forget(self) -> None:
-        self.parts.clear()
         self.words.clear()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts that were not remembered."""
-        split = []
-        for part in parts:
-            word = part.rstrip(MARKS)
-            if word.isalpha():  # letters and marks behind them are never joined by the pattern
-                split.append((" " + word, part[len(word) :]) if len(word) < len(part) else (
-                    " " + word,
-                ))
-            else:
-                split.append(self.split(" " + part))
-        known = {w: self.words.get(w) for w in set().union(*split)}
-        new = [w for w, ids in known.items() if ids is None]
-        if new:
-            shown = [w.encode().decode("latin-1").translate(self.alphabet) for w in new]
-            made = self.words_only.encode_batch_fast(
-                [shown], is_pretokenized=True, add_special_tokens=False
-            )[0]
-            ids = np.array(made.ids, "<u4")
-            data, at = ids.tobytes(), 0
-            # Tokens of a word add up to its characters.
-            ends = np.cumsum(np.fromiter(map(len, shown), np.int64, len(shown)))
-            ends = 4 * (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1)
-            for word, end in zip(new, ends.tolist(), strict=True):
-                known[word] = data[at:end]
-                self.words.put(word, data[at:end])
-                at = end
-        made = [b"".join([known[w] for w in words]) for words in split]
-        for part, ids in zip(parts, made, strict=True):
-            self.parts.put(part, ids)
-        return made
+    def _kinds(self, chars: np.ndarray) -> np.ndarray:
+        """Kind of every character; the tokenizer's own pattern joins equal kinds other than spaces."""
+        kinds = self.kinds[chars]
+        if (kinds == UNKNOWN).any():
+            split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            for c in np.unique(chars[kinds == UNKNOWN]).tolist():
+                joins = [k for k, like in SAMPLES.items() if len(split(like + chr(c))) == 1]
+                self.kinds[c] = joins[0] if joins else SPACE
+            kinds = self.kinds[chars]
+        return kinds
+
+    def _cut(self, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Whether a word of the byte-level pattern begins at each character; texts begin at ``starts``."""
+        kinds = self._kinds(chars)
+        space = kinds == SPACE
+        fresh = np.zeros(len(chars) + 4, bool)  # a few beyond the end, for looking ahead
+        fresh[starts] = fresh[len(chars) :] = True
+        word = fresh.copy()
+        # Where the kind changes; the blank before a word belongs to it, other spaces stand apart.
+        word[1 : len(chars)] |= kinds[1:] != kinds[:-1]
+        blank = chars == BLANK
+        word[1 : len(chars)] &= fresh[1 : len(chars)] | ~(blank[:-1] & ~space[1:])
+        # The last space before a visible character is cut from the spaces in front of it.
+        last = space & ~fresh[1 : len(chars) + 1]
+        last[:-1] &= ~space[1:]
+        word[: len(chars)] |= last
+        # 's, 't, 'm, 'd, 're, 've and 'll
+        mark = np.flatnonzero((chars == APOSTROPHE) & word[: len(chars)])
+        if len(mark):
+            ahead = np.concatenate([chars, np.zeros(4, chars.dtype)])
+            one, two = ahead[mark + 1], ahead[mark + 2]
+            short = mark[~fresh[mark + 1] & np.isin(one, SHORT_ENDINGS)]
+            long = mark[
+                ~fresh[mark + 1] & ~fresh[mark + 2] & np.isin(one * 256 + two, LONG_ENDINGS)
+                & (two < 256)
+            ]
+            word[short + 1] = word[long + 1] = False
+            word[short + 2] = word[long + 3] = True
+        return word[: len(chars)]
+
+    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of words that were not remembered."""
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        _, offsets, data = words.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[words.offset :][: len(words) + 1].astype(np.int64)
+        data = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+        end = bounds[1:] - bounds[0]
+        shown = np.full(len(data) + len(end), ord("\n"), "<u2")
+        shown[np.arange(len(data)) + np.repeat(np.arange(len(end)), np.diff(bounds))] = self.shown[data]
+        made = self.words_only.encode_batch_fast(
+            [shown.tobytes().decode("utf-16-le")], add_special_tokens=False
+        )[0]
+        ids = np.array(made.ids, np.uint32)
+        # Tokens of a word add up to its bytes.
+        upto = np.searchsorted(np.cumsum(self.size[ids]), end) + 1
+        return ids, np.diff(upto, prepend=0)
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if not self.cuttable or not len(texts):
+        if not self.cuttable:
             return self._whole(texts.to_pylist())
-        cut = pc.split_pattern(texts, " ")
-        coded = cut.flatten().dictionary_encode()
-        bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
-        at = coded.indices.to_numpy()
-        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        head = np.zeros(len(at), bool)
-        head[bounds[:-1]] = True
-        odd_part = np.fromiter((not p or p[0].isspace() for p in different), bool, len(different))
-        odd = np.add.reduceat(odd_part[at] & ~head, bounds[:-1]) > 0
+        odd = np.zeros(len(texts), bool)
         for token in self.added:
             odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        whole = iter(self._whole(texts.filter(pa.array(odd)).to_pylist()))
+        plain = texts.filter(pa.array(~odd)).to_pylist()
+        if len(plain) == 1:
+            plain = iter([b"".join(self._by_words([w])[0] for w in windows(plain[0]))])
+        else:
+            plain = iter(self._by_words(plain))
+        return [next(whole if is_odd else plain) for is_odd in odd.tolist()]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        joined = "".join(texts)
+        if not joined:
+            return [b""] * len(texts)
+        chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        text_starts = np.concatenate([[0], text_ends[:-1]])
+        begins = np.flatnonzero(self._cut(chars, text_starts[text_starts < len(chars)]))
+        data = joined.encode()
+        at = begins
+        if len(data) > len(chars):  # from characters to bytes
+            first = np.frombuffer(data, np.uint8)
+            at = np.flatnonzero((first & 0xC0) != 0x80)[begins]
+        offsets = np.append(at, len(data)).astype(np.int32)
+        words = pa.Array.from_buffers(
+            pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+        )
 
-        needed = np.zeros(len(different), bool)
-        needed[at[~head & ~np.repeat(odd, np.diff(bounds))]] = True
-        needed = np.flatnonzero(needed).tolist()
-        found: list[bytes | None] = [b""] * len(different)
-        for i in needed:
-            found[i] = self.parts.get(different[i])
-        new = [i for i in needed if found[i] is None]
-        for i, made in zip(new, self._learn([different[i] for i in new]), strict=True):
-            found[i] = made
-        ids = np.frombuffer(b"".join(found), "<u4")
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # Remembered words stand in front, so a new word is one with a later number.
+        table = self.words
+        coded = pa.concat_arrays([table.keys, words]).dictionary_encode()
+        old = len(table.keys)
+        at = coded.indices.to_numpy()[old:]
+        asked = np.concatenate([table.asked, np.ones(len(coded.dictionary) - old, bool)])
+        asked[at] = True
+        ids, size = self._learn(coded.dictionary.slice(old))
+        ids, size = np.concatenate([table.ids, ids]), np.concatenate([table.size, size])
         first = np.cumsum(size) - size
 
         lengths = size[at]
-        lengths[head | np.repeat(odd, np.diff(bounds))] = 0
         before = np.concatenate([[0], np.cumsum(lengths)])
         here = np.arange(before[-1], dtype=np.int32) + np.repeat(
             (first[at] - before[:-1]).astype(np.int32), lengths
         )
-        data = ids[here].tobytes()
-        ends = (4 * before[bounds]).tolist()
-        heads = iter(
-            self._whole([different[i] for i in at[bounds[:-1]][~odd].tolist()])
-        )
-        whole = iter(self._whole(texts.filter(pa.array(odd)).to_pylist()))
-        return [
-            next(whole) if is_odd else next(heads) + data[a:b]
-            for is_odd, a, b in zip(odd.tolist(), ends, ends[1:], strict=False)
-        ]
+        made = ids[here].tobytes()
+        table.keep(coded.dictionary, ids, size, asked)
+        ends = (4 * before[np.searchsorted(begins, text_ends)]).tolist()
+        return [made[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 @cache

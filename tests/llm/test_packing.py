@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -31,6 +32,58 @@ def test_remembered_parts_give_the_ids_of_whole_texts(tokenizer):
         assert own == whole
 
 
+def same_ids(encode, texts, tokenizer):
+    whole = tokenizer.encode_batch(texts, add_special_tokens=False)
+    found = encode(pa.array(texts, pa.string()))
+    return [np.frombuffer(f, "<u4").tolist() for f in found] == [w.ids for w in whole]
+
+
+def test_only_texts_with_an_added_token_are_encoded_whole(tokenizer, monkeypatch):
+    encode, sent = packing.CachedEncoder(PATH), []
+    whole = encode._whole
+    monkeypatch.setattr(encode, "_whole", lambda texts: sent.extend(texts) or whole(texts))
+    texts = ["two  spaces", "line \n\n here ", "one<|endoftext|>two", "", " ", "last"]
+    assert same_ids(encode, texts, tokenizer)
+    assert sent == ["one<|endoftext|>two"]
+
+
+def test_words_are_cut_as_the_tokenizer_cuts_them(tokenizer):
+    rng = random.Random(5)
+    bits = ["a", "é", " ", "  ", "\n", "\t", "'", "'s", "'ll", "'re", "v", "e", "l", "S", "!", "7", "½",
+            "\x85", "\x1c", "\u00a0", "\u2009", "\u200b", "\u3000", "\u0301", "\u0663", "日", "😀", "\0"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(8000)]
+    texts += ["", "'", "s", "'r", "e", "a'l", "l", " ", "b"]  # texts do not run on into the next
+    texts += ["".join(chr(rng.randrange(0xD800)) for _ in range(20)) for _ in range(300)]
+    assert same_ids(packing.CachedEncoder(PATH), texts, tokenizer)
+
+
+def test_long_text_in_windows(tokenizer):
+    text = " ".join(f"we'll  {i}\nsee word, and more" for i in range(500))
+    parts = list(packing.windows(text, 700))
+    assert "".join(parts) == text and len(parts) > 15 and max(map(len, parts)) < 760
+    found = b"".join(packing.CachedEncoder(PATH)(pa.array(parts)))
+    whole = tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(found, "<u4").tolist() == whole
+    assert list(packing.windows("x" * 2000, 700)) == ["x" * 2000] and list(packing.windows("")) == [""]
+
+
+def test_words_that_are_mostly_rare_take_less_time_than_the_whole_text(tokenizer):
+    rng = random.Random(7)
+    syllables = "th he an in er on re ed nd ha at en es of or nt ea ti to it st io le is ou".split()
+    texts = [" ".join("".join(rng.choices(syllables, k=rng.randrange(1, 6))) + rng.choice(["", "", ".", ",", ".\nA"])
+                      for _ in range(300)) for _ in range(1500)]
+    column = pa.array(texts)
+    encode = packing.CachedEncoder(PATH)
+    encode(column.slice(0, 10))
+    start = time.process_time()
+    for at in range(0, len(texts), 500):
+        encode(column.slice(at, 500))
+    own = time.process_time() - start
+    start = time.process_time()
+    tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert own < 0.7 * (time.process_time() - start)
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 400, 30_000])
 def test_plan_uses_every_piece_once(n):
     rng = np.random.default_rng(n)
