@@ -7,9 +7,11 @@ carries its frequency class in the top bits, so sorting numbers sorts by the glo
 
 Candidates: two sets of similarity ``PERCENT`` share a shingle within their first
 ``n - ceil(PERCENT n / 100) + 1`` shingles, and the first one they share leaves enough behind it in
-both. Equal sets are one set from here on. Each set goes to the home of the smallest set it shares
-such a shingle with, and homes are cut into blocks of bounded size. Blocks that meet on a shingle are
-compared: a task holds the first shingles of two blocks and writes the pairs that pass in one row.
+both. Equal sets are one set from here on. Sets meet by such a shingle and a class of sizes. Each set goes
+to the home of the smallest set it meets, and homes are cut into blocks of bounded size. Blocks whose sets meet
+are compared, and a comparison is sent the sets that meet there: a task holds their first shingles and
+writes, in one row, the pairs that pass. A pair passes if all it shares among its first shingles and
+all that is left behind them is enough for a link; few pairs that share a shingle by chance do.
 
 Vertical counting: the global order is cut into ``FRAGMENTS`` ranges that hold about equally many
 shingle occurrences. Each pair of blocks counts the partial overlaps of its candidate pairs in each
@@ -23,6 +25,8 @@ null only if none of its rows has an id; an empty table yields no rows; further
 
 from __future__ import annotations
 
+import gc
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +46,13 @@ FRAGMENTS = 8
 #: Sets and shingles that a block of a home holds about.
 BLOCK_SETS = 1_024
 BLOCK_SHINGLES = 1_000_000
+#: A spot with more sets to a block than this has its blocks compared as wholes.
+CROWDED = 4
 #: Bits of a shingle's number below its frequency class.
 HASH_BITS = 58
+#: Size of the table that marks wanted texts, and of the slices it is put together from, as powers of two.
+MARK_BITS = 26
+MARK_SLICE = 16
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -51,6 +60,14 @@ U = np.uint64
 M1 = U(0x9E3779B97F4A7C15)
 
 
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    """``stage``; the shuffle files of the finished step go at once, not when the driver's memory is full."""
+    out = stage(df, name)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 # -- shingles
 
 
@@ -169,37 +186,68 @@ def sets_of(texts: DataFrame, classes: np.ndarray) -> DataFrame:
     return arrow_map(texts, lambda: run, SETS)
 
 
-def _needed(sx: Column, sy: Column) -> Column:
-    """Least overlap of two linked sets of these sizes."""
-    return F.ceil(PERCENT * (sx + sy) / F.lit(100 + PERCENT))
-
-
 def shared_heads(sets: DataFrame) -> DataFrame:
-    """``shingle, id, size, at, hub``: first shingles that several sets hold; ``hub`` the least set.
+    """``shingle, id, size, at``: first shingles that several sets hold.
 
-    Where two sets alone hold a shingle and it leaves too little in one of them, it is left out: it is
-    not the first one a linked pair shares. Counting and joining use one exchange of the rows; both
-    stream through a shingle's rows and hold none of them.
+    Where two sets alone hold a shingle and their sizes lie too far apart for a link, it is left out.
+    Counting and joining use one exchange of the rows (so the same columns of it); both stream through a
+    shingle's rows and hold none of them.
     """
-    n = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    rows = sets.select(
-        "id", "size", F.posexplode("head").alias("at", "shingle")
-    ).repartition(n, "shingle")
-    row = F.struct("id", "size", "at")
+    place = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
+    rows = sets.select("id", "size", F.posexplode("head").alias("at", "shingle")).select(
+        "shingle", "id", place.alias("place")
+    ).repartition(_tasks(sets), "shingle")
+    size = F.shiftright("place", 32).cast("int")
     held = rows.groupBy("shingle").agg(
-        F.min(row).alias("low"), F.max(row).alias("high"), F.count("*").alias("n")
+        F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"),
+        F.min("place").alias("least"), F.max("place").alias("most"),
+    )
+    near = 100 * F.shiftright("least", 32) >= PERCENT * F.shiftright("most", 32)
+    held = held.where((F.col("low") != F.col("high")) & ((F.col("n") > 2) | near)).select("shingle")
+    return rows.join(held.hint("merge"), "shingle").select(
+        "shingle", "id", size.alias("size"),
+        F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"),
+    )
+
+
+def _tasks(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def _size_class(size: Column) -> Column:
+    return F.floor(F.log(size) / math.log(100 / PERCENT)).cast("int")
+
+
+def meetings(shared: DataFrame) -> DataFrame:
+    """``spot, id, size, hub``: where sets may meet for the first time; ``hub`` the least set there.
+
+    A spot is a shingle and a class of sizes. A set comes to the spots of the sizes that a partner no larger
+    than itself may have: not under ``PERCENT`` of its own, and no more than what the shingle leaves behind
+    it in the set allows. Where a set of the class itself is among those that come, they may be linked.
+    """
+    size, at = F.col("size"), F.col("at")
+    most = F.floor((100 * size - (100 + PERCENT) * at) / PERCENT)
+    low, high = F.ceil(PERCENT * size / 100), F.least(size, most)
+    rows = shared.where(high >= low).select(
+        "shingle", "id", "size", (most >= size).alias("early"),
+        F.explode(F.sequence(_size_class(low), _size_class(high))).alias("class"),
     )
-    left = F.least(*[F.col(f"{s}.size") - F.col(f"{s}.at") for s in ("low", "high")])
-    enough = left >= _needed(F.col("low.size"), F.col("high.size"))
-    held = held.where((F.col("n") > 2) | ((F.col("n") == 2) & enough)).select(
-        "shingle", F.col("low.id").alias("hub")
+    # A set of the class itself has its size, another one the size below zero: one exchange for both uses.
+    own = F.col("early") & (F.col("class") == _size_class(size))
+    rows = rows.select(
+        "shingle", "class", "id", F.when(own, size).otherwise(-size).alias("mark")
+    ).repartition(_tasks(shared), "shingle", "class")
+    held = rows.groupBy("shingle", "class").agg(
+        F.count("*").alias("n"), F.max("mark").alias("own"), F.min("id").alias("hub")
+    ).where("n > 1 and own > 0").select("shingle", "class", "hub")
+    return rows.join(held.hint("merge"), ["shingle", "class"]).select(
+        F.xxhash64("shingle", "class").alias("spot"), "id", F.abs("mark").alias("size"), "hub"
     )
-    return rows.join(held.hint("merge"), "shingle")
 
 
-def block_pairs(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``id, block`` of every candidate set, ``a, b`` of the blocks that are to be compared)."""
-    homes = shared.groupBy("id").agg(
+def block_routes(meets: DataFrame) -> DataFrame:
+    """``a, b, id, left``: the blocks that are to be compared and the sets that each comparison needs."""
+    homes = meets.groupBy("id").agg(
         F.min("hub").alias("home"), F.max("size").alias("size")
     )
     # A home whose own set has moved on moves with it, once, so groups do not fall apart.
@@ -210,20 +258,43 @@ def block_pairs(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)
         ).cast("int").alias("parts")
     )
-    members = stage(
+    members = _staged(
         homes.join(sizes, "home").select(
             "id", F.xxhash64("home", F.pmod(F.xxhash64("id", F.lit("part")), "parts")).alias("block")
         ),
         "members",
     )
-    # A set's blocks by shingle; a home met by all its sets alone is compared with itself only.
-    met = shared.select("shingle", "id").join(members, "id").select("shingle", "block").distinct()
-    several = met.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
-    met = stage(met.join(several, "shingle"), "met")
-    left, right = (met.select("shingle", F.col("block").alias(c)) for c in "ab")
-    across = left.join(right, "shingle").where("a < b").select("a", "b").distinct()
-    alone = members.select(F.col("block").alias("a"), F.col("block").alias("b")).distinct()
-    return members, stage(across.union(alone), "block-pairs")
+    # A spot met by the sets of one block alone is compared within that block only.
+    met = meets.select("spot", "id").join(members, "id")
+    blocks_of = met.groupBy("spot", "block").agg(F.count("*").alias("n"))
+    several = blocks_of.groupBy("spot").agg(
+        F.count("*").alias("blocks"), F.sum("n").alias("sets")
+    ).where("blocks > 1")
+    spots = several.select("spot", (F.col("sets") > CROWDED * F.col("blocks")).alias("crowded"))
+    met = _staged(met.join(spots, "spot"), "met")
+    # Spots of few sets to a block: those sets alone go to the other blocks of the spot.
+    few = met.where("not crowded")
+    other = few.select("spot", F.col("block").alias("other")).distinct()
+    single = few.join(other, "spot").where("block <> other").select(
+        F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "id",
+        (F.col("block") < F.col("other")).alias("left"),
+    )
+    # Spots of many: the blocks are compared as wholes.
+    many = met.where("crowded").select("spot", "block").distinct()
+    left, right = (many.select("spot", F.col("block").alias(c)) for c in "ab")
+    pairs = _staged(
+        left.join(right, "spot").where("a < b").select("a", "b").distinct(), "block-pairs"
+    )
+    whole = [
+        members.join(pairs.withColumn("block", F.col(c)), "block").select(
+            "a", "b", "id", F.lit(c == "a").alias("left"))
+        for c in "ab"
+    ]
+    alone = members.select(
+        F.col("block").alias("a"), F.col("block").alias("b"), "id", F.lit(True).alias("left")
+    )
+    routes = single.union(whole[0]).union(whole[1]).distinct()
+    return _staged(routes.union(alone), "routes")
 
 
 def _grouped(
@@ -301,20 +372,46 @@ def pairs_that_pass(
     return found[0] // n, found[0] % n
 
 
+def within_reach(
+    x: np.ndarray, y: np.ndarray, owner: np.ndarray, shingle: np.ndarray, at: np.ndarray,
+    size: np.ndarray, tail: np.ndarray,
+) -> np.ndarray:
+    """Which of the pairs (``x`` ascending) can still overlap enough, given all they share at first.
+
+    Up to the lesser of the two last first shingles (``tail``) all that is shared is known; behind it no
+    more can be than what either set has left.
+    """
+    values, code = np.unique(np.concatenate([shingle.view(U), tail.view(U)]), return_inverse=True)
+    code, last = code[: len(shingle)], code[len(shingle) :]
+    spot = owner * len(values) + code
+    order = np.argsort(spot, kind="stable")
+    spot, at = spot[order], at[order]
+    first = np.searchsorted(owner[order], np.arange(len(size) + 1))
+    known = [code[order[a:b]].astype(U) for a, b in zip(first, first[1:], strict=False)]
+    shared = overlaps(known, x, y)
+    end = np.minimum(last[x], last[y])
+
+    def passed(s: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(spot, s * len(values) + end, side="right")
+        seen = np.where(k > first[s], at[k - 1] + 1, 0)
+        return np.where(last[s] <= end, size[s] - -(-PERCENT * size[s] // 100) + 1, seen)
+
+    need = (PERCENT * (size[x] + size[y]) + 99 + PERCENT) // (100 + PERCENT)
+    return shared + np.minimum(size[x] - passed(x), size[y] - passed(y)) >= need
+
+
 CANDIDATES = "a long, b long, ids array<long>, xs array<int>, ys array<int>"
 
 
-def candidates(shared: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
+def candidates(shared: DataFrame, sets: DataFrame, routes: DataFrame) -> DataFrame:
     """One row per pair of blocks: the sets it needs, and its candidate pairs by place among them."""
-    heads = shared.groupBy("id").agg(
+    routed = routes.select("id").distinct()
+    heads = shared.join(routed, "id").groupBy("id").agg(
         F.first("size").alias("size"),
         F.collect_list(F.struct("shingle", "at")).alias("head"),  # no longer than a set's head
-    ).join(members, "id")
-    sides = pairs.select(F.col("a").alias("block"), "a", "b").union(
-        pairs.where("a <> b").select(F.col("b").alias("block"), "a", "b")
-    )
-    rows = heads.join(sides, "block").select(
-        "a", "b", "id", "size", (F.col("block") == F.col("a")).alias("left"),
+    ).join(sets.select("id", "tail"), "id")
+    rows = heads.join(routes, "id").select(
+        "a", "b", "id", "size", "left", "tail",
         F.col("head.shingle").alias("shingle"), F.col("head.at").alias("at"),
     )
     schema = pa.schema([
@@ -326,10 +423,12 @@ def candidates(shared: DataFrame, members: DataFrame, pairs: DataFrame) -> DataF
         for table in _grouped(batches, ["a", "b"]):
             shingle, n = _lists(table["shingle"])
             at, _ = _lists(table["at"])
-            x, y = pairs_that_pass(
-                np.repeat(np.arange(table.num_rows), n), shingle, at.astype(np.int64),
-                table["size"].to_numpy().astype(np.int64), table["left"].to_numpy(),
-            )
+            owner, at = np.repeat(np.arange(table.num_rows), n), at.astype(np.int64)
+            size = table["size"].to_numpy().astype(np.int64)
+            x, y = pairs_that_pass(owner, shingle, at, size, table["left"].to_numpy())
+            if len(x):
+                ok = within_reach(x, y, owner, shingle, at, size, table["tail"].to_numpy())
+                x, y = x[ok], y[ok]
             if not len(x):
                 continue
             used = np.unique(np.concatenate([x, y]))
@@ -369,17 +468,58 @@ def forest(n: int, xs: np.ndarray, ys: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def segments(texts: DataFrame, classes: np.ndarray, pivots: np.ndarray) -> DataFrame:
-    """``id, size, fragment, segment`` of the sets of the given rows, fragments without shingles left out."""
-    sent = texts.sparkSession.sparkContext.broadcast((classes, pivots))
+def name_of(numbers: np.ndarray) -> int:
+    """The name of a set as ``sets_of`` gives it."""
+    return int(np.uint64(xxhash.xxh64_intdigest(numbers.tobytes(), seed=7)).view(np.int64))
+
+
+def marks_of(keys: DataFrame) -> np.ndarray:
+    """A table of ``2 ** MARK_BITS`` bits, those of the keys set: a fixed size however many there are."""
+
+    def packed(rows: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << MARK_SLICE, np.uint8)
+        bits[rows["bit"].to_numpy()] = 1
+        return pa.table({
+            "slice": rows["slice"].slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()]),
+        })
+
+    place = F.shiftrightunsigned("key", 64 - MARK_BITS)
+    found = keys.select(
+        F.shiftright(place, MARK_SLICE).cast("int").alias("slice"),
+        F.pmod(place, F.lit(1 << MARK_SLICE)).cast("int").alias("bit"),
+    ).distinct().groupBy("slice").applyInArrow(packed, "slice int, bits binary").toArrow()
+    table = np.zeros((1 << MARK_BITS - MARK_SLICE, 1 << MARK_SLICE - 3), np.uint8)
+    for k, data in zip(found["slice"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        table[k] = np.frombuffer(data, np.uint8)
+    return table.ravel()
+
+
+def marked(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    place = (keys.view(U) >> U(64 - MARK_BITS)).astype(np.int64)
+    return (marks[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def segments(
+    texts: DataFrame, classes: np.ndarray, pivots: np.ndarray, marks: np.ndarray
+) -> DataFrame:
+    """``id, size, fragment, segment`` of the sets of rows whose ``key`` is marked.
+
+    Fragments without shingles are left out.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast((classes, pivots, marks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, pivots = sent.value
-        for part in parts(batches):
+        classes, pivots, marks = sent.value
+
+        def wanted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(marked(batch.column("key").to_numpy(), marks)))
+
+        for part in parts(wanted()):
             names, sizes, fragments, cut = [], [], [], []
-            ids = part.column("id").to_pylist()
-            for name, found in zip(ids, shingle_hashes(part.column("text")), strict=True):
+            for found in shingle_hashes(part.column("text")):
                 found = numbered(found, classes)
+                name = name_of(found)
                 ends = [0, *np.searchsorted(found, pivots).tolist(), len(found)]
                 for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
                     if a < b:
@@ -508,26 +648,28 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     table = count_table(texts.select("text"))
     classes = classes_of(table)
-    rows = stage(sets_of(texts.select("doc_id", "text", *_keys()), classes), "rows")
+    rows = _staged(sets_of(texts.select("doc_id", "text", *_keys()), classes), "rows")
     # Equal sets are one; of the texts that have it, the one whose keys are least gives the set.
     names = rows.where("size > 0").groupBy("id").agg(
         F.min(F.struct("h1", "h2", "h3")).alias("text_key"), F.min("check").alias("low"),
         F.max("check").alias("high"), F.first("size").alias("size"), F.first("head").alias("head"),
-    )
-    sets = stage(names, "sets")
+    ).withColumn("tail", F.element_at("head", -1))
+    sets = _staged(names, "sets")
     if not sets.where("low <> high").isEmpty():
         raise ValueError("two different sets have the same 64-bit name")
-    shared = stage(shared_heads(sets), "shared")
-    members, pairs = block_pairs(shared)
-    found = stage(candidates(shared, members, pairs), "candidates")
-    wanted = found.select(F.explode("ids").alias("id")).distinct().join(sets, "id").select(
-        "id", "text_key.h1", "text_key.h2", "text_key.h3"
+    shared = _staged(shared_heads(sets), "shared")
+    routes = block_routes(_staged(meetings(shared), "meets"))
+    found = _staged(candidates(shared, sets, routes), "candidates")
+    # Whole texts only of sets in a candidate pair: a table of bits tells a task which texts those are.
+    # The few others whose bits are set too, and rows equal in id and text, do no harm.
+    key = F.xxhash64("h1", "h2", "h3").alias("key")
+    wanted = found.select(F.explode("ids").alias("id")).distinct().join(
+        sets.select("id", "text_key.*"), "id"
     )
-    # Whole texts only of sets in a candidate pair; their number grows with the corpus, so no broadcast.
-    # Rows equal in id and text give their set's segments more than once, which does no harm.
-    needed = texts.select("text", *_keys()).join(wanted.hint("merge"), ["h1", "h2", "h3"])
-    cut = segments(needed, classes, pivots_of(table, classes))
-    return rows, stage(links_of(found, cut), "links")
+    marks = marks_of(wanted.select(key))
+    keyed = texts.select("text", *_keys()).select("text", key)
+    cut = segments(keyed, classes, pivots_of(table, classes), marks)
+    return rows, _staged(links_of(found, cut), "links")
 
 
 def join_documents(docs: DataFrame) -> DataFrame:

@@ -83,6 +83,33 @@ def test_hot_group_costs_rows_by_members(spark, documents):
     assert found(vertical.join_documents(documents(rows))) == by_hand(rows)
 
 
+def test_chance_meetings_cost_no_comparison(spark, documents, monkeypatch):
+    """Texts put together from common passages share first shingles, but not enough to be compared whole."""
+    kept = {}
+    stage = vertical.stage
+    monkeypatch.setattr(vertical, "stage", lambda df, name: kept.setdefault(name, stage(df, name)))
+    rng = np.random.default_rng(4)
+    passages = [" ".join(f"p{k}w{i}" for i in range(40)) for k in range(60)]
+    rows = [
+        (i, " ".join(passages[k] for k in rng.choice(60, rng.integers(6, 9), replace=False)))
+        for i in range(200)
+    ]
+    rows += [(500 + i, rows[i][1] + " and one word more") for i in range(5)]
+    assert found(vertical.join_documents(documents(rows))) == by_hand(rows)
+    compared = kept["candidates"].selectExpr("sum(size(ids))").first()[0]
+    assert 10 <= compared <= 100
+
+
+def test_table_of_marks(spark):
+    keys = [-(1 << 63), -1, 0, 1, 5 << 38, (1 << 63) - 1, 123456789 << 30]
+    marks = vertical.marks_of(spark.createDataFrame([(k,) for k in keys + keys], "key long"))
+    assert len(marks) == 1 << vertical.MARK_BITS - 3
+    other = np.array([2 << 38, 9 << 50, -(9 << 50)], np.int64)
+    assert vertical.marked(np.array(keys, np.int64), marks).all()
+    assert not vertical.marked(other, marks).any()
+    assert not vertical.marks_of(spark.createDataFrame([], "key long")).any()
+
+
 def test_sql(spark, documents):
     rows = chains(2)
     con = duckdb.connect()
