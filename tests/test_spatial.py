@@ -360,3 +360,27 @@ def test_ring_texts(spark):
     rows = values(spark.createDataFrame([(g,) for g in odd], "g string").select(
         rings_from_geojson(F.col("g"))))
     assert rows == [([],), ([],), ([],), (None,), (None,), (None,)]
+
+
+@pytest.mark.parametrize("name", ["pip_parcels_all"])
+def test_many_parts_are_not_broadcast(spark, tmp_path, name):
+    """A file that is small for its rows: 600,000 parts would be built into a table in the driver."""
+    from workload.queries import QUERIES
+
+    part = spark.range(0, 600_000, 1, 4).selectExpr("id as p_partkey", "concat('n', id % 9) as p_name")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(1, 5, 3, 1), (2, 7, 0, 2), (3, 599_999, 25, 1), (4, 600_000, 3, 1), (5, None, 3, 1)]
+    lines = spark.createDataFrame(
+        lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"
+    )
+    other = spark.range(600_000).selectExpr(
+        "xxhash64(id)", "cast(null as long)", "xxhash64(id, 1)", "1")
+    lines.union(other).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(40).selectExpr("id as s_suppkey", "cast(id % 5 as int) as s_nationkey").write.parquet(
+        f"{tmp_path}/supplier.parquet")
+    df = QUERIES[name](spark, str(tmp_path))
+    rows = values(df)
+    parts = [p for p in plan_text(df).split("\n") if "p_partkey" in p and "Broadcast" in p]
+    assert parts == []
+    assert sorted((r[0], r[3], r[4]) for r in rows) == [
+        (11, 0, "P0"), (22, 0, "P0"), (31, 19, "P19"), (31, 39, "P39")]

@@ -15,6 +15,11 @@ from workload.tables import (
     parcel_text,
 )
 
+#: Parts of more rows are not broadcast. Spark goes by the size of compressed files, of which few bytes may
+#: hold more rows than the driver's memory has room for.
+BROADCAST_PARTS = 500_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,6 +34,8 @@ def listings(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -
     """One advertisement per line item; ``id`` is not unique, as in the supplied tables."""
     lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    if parts.count() > BROADCAST_PARTS:  # from the files' footers
+        parts = parts.hint("merge")
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     return derive(joined, LISTING_COLUMNS, names)
 
