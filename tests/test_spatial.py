@@ -362,7 +362,7 @@ def test_ring_texts(spark):
     assert rows == [([],), ([],), ([],), (None,), (None,), (None,)]
 
 
-@pytest.mark.parametrize("name", ["pip_parcels_all"])
+@pytest.mark.parametrize("name", ["pip_parcels_all", "pip_parcels_all_shuffled"])
 def test_many_parts_are_not_broadcast(spark, tmp_path, name):
     """A file that is small for its rows: 600,000 parts would be built into a table in the driver."""
     from workload.queries import QUERIES
